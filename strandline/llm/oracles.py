@@ -17,3 +17,46 @@ SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n, 0) AS n_
        sha256(unhex(coalesce(k, CASE WHEN n IS NULL THEN h ELSE '' END))) AS kept_sha256
 FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+OP4 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n
+      FROM (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+g AS (SELECT doc_id, i, n, w,
+        CASE WHEN i + 7 <= n THEN concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o, lead(w, 5) OVER o, lead(w, 6) OVER o, lead(w, 7) OVER o) END AS g8,
+        CASE WHEN i + 4 <= n THEN concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) END AS g5
+      FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT *, g8 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g8) > 1 AS r8, g5 IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g5) > 1 AS r5 FROM g),
+v AS (SELECT *, coalesce(bool_or(r8) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), false) AS c8,
+             coalesce(bool_or(r5) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), false) AS c5 FROM c),
+s AS (SELECT doc_id, count(*) AS n_words, CAST(sum(length(w)) AS BIGINT) AS word_chars, count(*) FILTER (c8) AS n_repeat_words, count(*) FILTER (c5) AS n_covered FROM v GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+          WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+b AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_covered, 0) AS n_covered,
+        coalesce(n_words, 0) < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+      FROM d LEFT JOIN s USING (doc_id) LEFT JOIN lines USING (doc_id)),
+q AS (SELECT doc_id, i, g5 FROM c JOIN b USING (doc_id) WHERE r5 AND NOT base_failed),
+pair AS (SELECT x.doc_id, x.i, y.i - x.i AS far FROM q x JOIN q y ON x.doc_id = y.doc_id AND x.g5 = y.g5 AND x.i < y.i),
+longest AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, count(*) + 4 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, far ORDER BY i) AS k FROM pair) GROUP BY doc_id, far, k) GROUP BY doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_covered <= 0.4 * n_words AND coalesce(longest, 0) <= 0.25 * n_words AS kept
+FROM b LEFT JOIN longest USING (doc_id)
+"""
+
+_STRICT = ("casino", "porn", "xxx", "viagra", "malware", "phishing", "warez", "escort", "spam-farm", "ads-track", "keylogger", "torrent")
+_SOFT = {"ads": 1.0, "track": 1.0, "spam": 1.0, "win": 1.0, "farm": 0.5, "bet": 1.0, "poker": 1.0, "loan": 1.0, "adult": 1.0, "sex": 1.0, "free": 0.5, "bonus": 1.0, "pills": 1.0, "crack": 1.0, "hack": 1.0, "click": 0.5, "utm_source": 0.25}
+_HIT = "CASE WHEN regexp_matches(u, '(^|[^a-z0-9]){}([^a-z0-9]|$)') THEN {} ELSE 0 END"
+OP5 = rf"""
+WITH p AS (SELECT page_id, url, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u,
+        CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, u, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM p),
+r(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+best AS (SELECT page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS ruled
+         FROM (SELECT DISTINCT page_id, host, path FROM h) h JOIN r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path) GROUP BY page_id),
+t AS (SELECT page_id, host, path, CAST({" + ".join(_HIT.format(x, 1) for x in _STRICT)} AS INTEGER) AS strict_hits,
+        CAST({" + ".join(_HIT.format(x, w) for x, w in _SOFT.items())} AS DOUBLE) AS soft_weight FROM h)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN strict_hits > 0 OR soft_weight >= 2.0 THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_weight
+FROM t LEFT JOIN best USING (page_id)
+"""
