@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import neighbours, oracles, quality, repeats, urls
+from . import near, neighbours, oracles, personal, quality, repeats, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +44,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_projected_neighbours")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@_query("op2_personal_data")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digest(personal.find_personal(_table(spark, sf_dir, "documents")))
+
+
+@_query("op6_super_minhash", oracles.OP6)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
