@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import near, neighbours, oracles, personal, quality, repeats, urls
+from . import near, neighbours, oracles, personal, quality, repeats, segment, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_super_minhash", oracles.OP6)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@_query("op10_sampled_segmentations")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.sample_segmentations(_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
