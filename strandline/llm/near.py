@@ -182,7 +182,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     total = cluster.groupBy("cluster").agg(F.ceil(F.sum("n") * 8 / block_bytes).cast("int").alias("blocks"))
     several = total.filter("blocks > 1")
     cut = not several.isEmpty()
-    texts = docs.join(cluster.select(F.col("node").alias("doc_id"), "cluster"), "doc_id").select(F.col("doc_id").alias("node"), "cluster", "text")
+    texts = docs.join(cluster.select(F.col("node").alias("doc_id"), "cluster").hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("node"), "cluster", "text")
     sets = texts.mapInArrow(T.shipped(__name__, "set_batches", width, bands, rows), SETS)
     if cut:
         sets = _shared.written(sets, "sets").join(total, "cluster")
