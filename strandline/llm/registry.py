@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, near, neighbours, oracles, personal, quality, repeats, segment, toxicity, urls
+from . import fixity, mixing, near, neighbours, oracles, personal, quality, repeats, segment, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op3_packed_mix", oracles.OP3)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+@_query("op8_merkle_fixity", oracles.OP8)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.audit_pages(_table(spark, sf_dir, "pages"))
