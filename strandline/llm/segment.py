@@ -40,8 +40,10 @@ from . import _text as T
 
 U = np.uint64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNIT, RANK_SHIFT, CHUNK = 48, 10.0, 6 << 20
+UNIT, RANK_SHIFT = 48, 10.0
+CHUNK, SEARCH = 2 << 20, 1 << 18  # bytes of text whose units share a lattice, and that are searched together
 DIGEST = "doc_id long, sample int, n_pieces long, n_bytes long, log_prob double, perturbed double, inclusion double, ids_sha256 string"
+DEEP, FLOOR = 60.0, 38.0
 FULL = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
 _loaded: dict = {}
 
@@ -150,25 +152,31 @@ class Lattice:
         node.append(i)
         target.append(i + 1)
         piece.append(vocab.byte_id[raw[i]])
-        node, target, piece = (np.concatenate(x).astype(np.int64) for x in (node, target, piece))
+        count = np.bincount(np.concatenate(node), minlength=n)
+        self.first = np.concatenate([[0], np.cumsum(count)])
+        size = int(self.first[-1])
+        self.node, self.target, self.piece = np.empty(size, np.int32), np.empty(size, np.int32), np.empty(size, np.int32)
+        filled = self.first[:-1].copy()
+        for i, j, ids in zip(node, target, piece):  # a node has one edge of each length
+            at = filled[i]
+            self.node[at], self.target[at], self.piece[at] = i, j, ids
+            filled[i] += 1
+        del node, target, piece, filled
+        final = self.target == stop[self.node]
         # masses from the end of each unit backwards
-        o = np.argsort(stop[node] - node, kind="stable")
-        mass = np.ones(n + 1)
-        weight = vocab.weight[piece]
-        final = target == stop[node]
-        far = (stop[node] - node)[o]
-        cuts = np.searchsorted(far, np.arange(1, int(far[-1]) + 2 if len(far) else 1))
-        share = np.zeros(len(node))
+        far = (stop[self.node] - self.node).astype(np.uint8)
+        o = np.argsort(far, kind="stable")
+        cuts = np.searchsorted(far[o], np.arange(1, int(far.max(initial=0)) + 2))
+        mass = np.zeros(n + 1)
+        self.prob = vocab.weight[self.piece]
         for a, b in zip(cuts[:-1], cuts[1:]):
             e = o[a:b]
-            share[e] = weight[e] * np.where(final[e], 1.0, mass[np.minimum(target[e], n)])
-            mass[:n][node[e]] = 0.0
-            np.add.at(mass, node[e], share[e])
-        o = np.argsort(node, kind="stable")
-        self.node, self.piece = node[o], piece[o]
-        self.target = np.where(final, -1, target)[o]
-        self.prob = share[o] / mass[self.node]
-        self.first = np.searchsorted(self.node, np.arange(n + 1))
+            self.prob[e] *= np.where(final[e], 1.0, mass[self.target[e]])
+            np.add.at(mass, self.node[e], self.prob[e])
+        self.target[final] = -1
+        self.prob /= mass[self.node]
+        with np.errstate(divide="ignore"):
+            self.log = np.log(self.prob)
         run = np.cumsum(self.prob)
         self.cdf = run - (run - self.prob)[self.first[self.node]]
         self.cdf[self.first[1:][np.diff(self.first) > 0] - 1] = 2.0
@@ -220,39 +228,55 @@ class _Path:
     """One sample of every document: edges in order, open sets' values, and where documents start."""
 
     def __init__(self, edge: np.ndarray, unit: np.ndarray, first: np.ndarray, opened: np.ndarray, value: np.ndarray, lattice: Lattice, seed: np.ndarray) -> None:
-        self.edge, self.unit, self.first = edge, unit, first
+        self.edge, self.unit, self.first, self.value = edge, unit, first, value
         size = np.diff(first)
-        q = lattice.prob[edge]
+        log = lattice.log[edge]
+        run = np.cumsum(log)
+        head = np.zeros(len(size))
+        some = size > 0
+        head[some] = (run - log)[first[:-1][some]]
+        self.total = np.zeros(len(size))
+        self.total[some] = run[first[1:][some] - 1] - head[some]
+        self.before = run - log - np.repeat(head, size)
+        self.left, self.open = np.zeros(len(edge)), np.full(len(edge), -np.inf)
+        self._values(np.flatnonzero(self.before > -DEEP), opened, value, lattice, seed)
+        # uniform() resolves 53 bits, so no set below -DEEP can reach the best ones, unless there is none above
+        best = _pick(self.open, first)[0]
+        if (best[some & (self.total < -DEEP)] < FLOOR - DEEP).any():
+            self._values(np.flatnonzero(self.before <= -DEEP), opened, value, lattice, seed)
+
+    def _values(self, i: np.ndarray, opened: np.ndarray, value: np.ndarray, lattice: Lattice, seed: np.ndarray) -> None:
+        row = np.searchsorted(self.first, i, side="right") - 1
+        at = i - self.first[row]
+        keep = at >= opened[row]
+        i, row, at = i[keep], row[keep], at[keep]
+        node = lattice.node[self.edge[i]]
+        left = np.maximum(1.0 - lattice.prob[self.edge[i]], 0.0)
+        left[lattice.first[node + 1] - lattice.first[node] == 1] = 0.0
+        u = T.uniform(T.mix(seed[row] + at.astype(U) * U(0xC2B2AE3D27D4EB4F)))
         with np.errstate(divide="ignore"):
-            log = np.log(q)
-            run = np.cumsum(log)
-            before = run - log
-            head = np.zeros(len(size))
-            some = size > 0
-            head[some] = before[first[:-1][some]]
-            self.before = before - np.repeat(head, size)
-            self.total = np.zeros(len(size))
-            self.total[some] = run[first[1:][some] - 1] - head[some]
-            self.left = np.maximum(1.0 - q, 0.0)
-            self.left[lattice.first[lattice.node[edge] + 1] - lattice.first[lattice.node[edge]] == 1] = 0.0
-            self.value = value
-            at = np.arange(len(edge)) - np.repeat(first[:-1], size)
-            u = T.uniform(T.mix(np.repeat(seed, size) + at.astype(U) * U(0xC2B2AE3D27D4EB4F)))
-            self.open = -np.logaddexp(np.repeat(-value, size), np.log(-np.log(u)) - self.before - np.log(self.left))
-        self.open[at < np.repeat(opened, size)] = -np.inf
-
-
-def sample_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int, vocab: Vocabulary) -> list[tuple[np.ndarray, ...]]:
-    """Up to k samples of each text: arrays of (rows, edge pieces, n + 1 offsets, log_prob, perturbed, inclusion)."""
-    rows = len(offsets) - 1
+            self.open[i] = -np.logaddexp(-value[row], np.log(-np.log(u)) - self.before[i] - np.log(left))
+        self.left[i] = left
+
+
+def sample_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int, vocab: Vocabulary) -> Iterator[tuple[int, list[tuple[np.ndarray, ...]]]]:
+    """Up to k samples of each text, for stretches of texts from a row on: arrays of (rows, edge pieces, n + 1 offsets, log_prob, perturbed, inclusion)."""
     starts, ends = units(data, offsets)
     row = T.rows_of(starts, offsets)
     h = T.span_hashes(data, starts, ends)
     _, one, kind = np.unique(h, return_index=True, return_inverse=True)
     lattice = Lattice(data, starts[one], ends[one], vocab)
+    first = np.searchsorted(row, np.arange(len(offsets)))
     node = lattice.start[kind]
-    count = np.bincount(row, minlength=rows)
-    first_unit = np.concatenate([[0], np.cumsum(count)])
+    del starts, ends, h, one, kind
+    for i, j in T.chunks(offsets, SEARCH):
+        yield i, search(lattice, node[first[i] : first[j]], first[i : j + 1] - first[i], keys[i:j], k)
+
+
+def search(lattice: Lattice, node: np.ndarray, first_unit: np.ndarray, keys: np.ndarray, k: int) -> list[tuple[np.ndarray, ...]]:
+    """Perturbed A* over the texts whose units start at these nodes; first_unit: n + 1 offsets of the texts' units."""
+    rows = len(first_unit) - 1
+    row = np.repeat(np.arange(rows), np.diff(first_unit))
     index = np.arange(len(row)) - first_unit[row]
     seeds = [T.mix(keys.astype(np.int64).view(U) + U((s + 1) * 0xD6E8FEB86659FD93 & (2**64 - 1))) for s in range(k)]
     unit_seed = lambda s: T.mix(seeds[s][row] + index.astype(U) * U(0xA0761D6478BD642F))
@@ -366,10 +390,11 @@ def sample_batches(batches: Iterator[pa.RecordBatch], k: int, path: str, full: b
         keys = names.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         for i, j in T.chunks(offsets, CHUNK):
             o = offsets[i : j + 1]
-            for s, (rows, piece, first, total, value, inclusion) in enumerate(sample_chunk(data[o[0] : o[-1]], o - o[0], keys[i:j], k, vocab)):
+            found = ((i + at, s, x) for at, parts in sample_chunk(data[o[0] : o[-1]], o - o[0], keys[i:j], k, vocab) for s, x in enumerate(parts))
+            for at, s, (rows, piece, first, total, value, inclusion) in found:
                 n = np.diff(first)[rows]
                 scores = [pa.array(x[rows]) for x in (total, value, inclusion)]
-                head = [names.slice(i, j - i).take(pa.array(rows)), pa.array(np.full(len(rows), s + 1, np.int32))]
+                head = [names.take(pa.array(rows + at)), pa.array(np.full(len(rows), s + 1, np.int32))]
                 ids = piece.astype("<i4")
                 if full:
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
