@@ -46,7 +46,7 @@ def read_stamp(stamp: Column) -> Column:
 
 def pins(codes: Column) -> Column:
     """Distinct times of a comma-separated list, ascending, to 3 decimals."""
-    parts = F.filter(F.transform(F.split(codes, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(codes, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_sort(F.array_distinct(F.transform(parts, lambda x: F.bround(read(x), 3))))
 
 

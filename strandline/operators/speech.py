@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from strandline.functions.text import folded, meaningful, squeeze
 from strandline.operators.scoring import floor_quantile
@@ -75,12 +76,12 @@ def similarity(a: str, b: str) -> float:
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x or "", y or "") for x, y in zip(a, b)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalized(a: pd.Series) -> pd.Series:
     return a.map(lambda x: None if x is None else plain(x))
 
