@@ -73,7 +73,7 @@ def _spans(kind: str, wanted: Column, text: Column, regex: str, good) -> Column:
 
 def _base(text: Column) -> Column:
     digit = text.rlike("[0-9]")
-    octet = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    octet = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
     size = lambda h, a, b: F.length(_digits(h)).between(a, b)
     return F.concat(
         _spans("email", text.contains("@"), text, EMAIL, lambda h: h.isNotNull()),
