@@ -206,7 +206,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         against = at.select("node", "cluster", "bands", "items", "label", "block").join(left_bytes, ["cluster", "block"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         keys = ["cluster", "block", "piece"]
         columns = [*keys, "node", "label", "bands", "items"]
-        crossed = rest.select(columns).groupBy(*keys).cogroup(against.select(columns).groupBy(*keys)).applyInArrow(_keyed2(ship("cross_blocks")), "a long, b long")
+        rest = _shared.written(rest.select(columns), "rest")
+        crossed = rest.groupBy(*keys).cogroup(against.select(columns).groupBy(*keys)).applyInArrow(_keyed2(ship("cross_blocks")), "a long, b long")
         label = components(links.unionByName(_shared.written(crossed, "crossed")))
     else:
         label = links.select(F.col("a").alias("node"), F.col("b").alias("label")).distinct()

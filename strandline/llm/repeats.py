@@ -431,6 +431,8 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("window must lie between 24 and 139 bytes")
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     stored = int(documents.select(text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if stored >= 1 << 60:  # Spark's mark of a size it can't tell
+        stored = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
     n = _prime(max(12, -(-stored // (bucket_mb << 20))))
     spread = lambda x: x.repartition(n, "bucket")
     ship = lambda f, *a: T.shipped(__name__, f, *a)
