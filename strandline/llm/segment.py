@@ -15,7 +15,8 @@ is opened: its next piece and all later ones are drawn by their conditional
 probability, which yields its best member, and the new path's own sets are
 opened. So k rounds give the top k of Gumbel-perturbed segmentations, which is k
 draws without replacement. The value of the best set left is the threshold for
-inclusion scores, 1 - exp(-exp(log_prob - threshold)).
+inclusion scores, 1 - exp(-exp(log_prob - threshold)), which are given as
+logarithms.
 
 Every random number is a hash of row key, round, unit and step, so results don't
 depend on partitions or batches. All texts of a chunk are searched together;
@@ -42,9 +43,9 @@ U = np.uint64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT, RANK_SHIFT = 48, 10.0
 CHUNK, SEARCH = 2 << 20, 1 << 18  # bytes of text whose units share a lattice, and that are searched together
-DIGEST = "doc_id long, sample int, n_pieces long, n_bytes long, log_prob double, perturbed double, inclusion double, ids_sha256 string"
+DIGEST = "doc_id long, sample int, n_pieces long, n_bytes long, log_prob double, perturbed double, log_inclusion double, ids_sha256 string"
 DEEP, FLOOR = 60.0, 38.0
-FULL = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, inclusion double"
+FULL = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double"
 _loaded: dict = {}
 
 
@@ -260,7 +261,7 @@ class _Path:
 
 
 def sample_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int, vocab: Vocabulary) -> Iterator[tuple[int, list[tuple[np.ndarray, ...]]]]:
-    """Up to k samples of each text, for stretches of texts from a row on: arrays of (rows, edge pieces, n + 1 offsets, log_prob, perturbed, inclusion)."""
+    """Up to k samples of each text, for stretches of texts from a row on: arrays of (rows, edge pieces, n + 1 offsets, log_prob, perturbed, log_inclusion)."""
     starts, ends = units(data, offsets)
     row = T.rows_of(starts, offsets)
     h = T.span_hashes(data, starts, ends)
@@ -377,8 +378,12 @@ def search(lattice: Lattice, node: np.ndarray, first_unit: np.ndarray, keys: np.
         live = np.zeros(rows, bool)
         live[go] = True
         alive.append(live)
-    with np.errstate(over="ignore"):
-        return [(np.flatnonzero(a), lattice.piece[p.edge], p.first, p.total, p.value, 1 - np.exp(-np.exp(np.minimum(p.total - value, 700.0)))) for p, a in zip(paths, alive)]
+    return [(np.flatnonzero(a), lattice.piece[p.edge], p.first, p.total, p.value, _log_inclusion(p.total - value)) for p, a in zip(paths, alive)]
+
+
+def _log_inclusion(y: np.ndarray) -> np.ndarray:
+    """log(1 - exp(-exp(y))), also where that is far below what a double holds."""
+    return np.where(y < -30, y, np.log(-np.expm1(-np.exp(np.clip(y, -30, 30)))))
 
 
 def sample_batches(batches: Iterator[pa.RecordBatch], k: int, path: str, full: bool) -> Iterator[pa.RecordBatch]:
@@ -398,13 +403,13 @@ def sample_batches(batches: Iterator[pa.RecordBatch], k: int, path: str, full: b
                 ids = piece.astype("<i4")
                 if full:
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
-                    yield pa.RecordBatch.from_arrays([*head, lists, *scores], names=["doc_id", "sample", "ids", "log_prob", "perturbed", "inclusion"])
+                    yield pa.RecordBatch.from_arrays([*head, lists, *scores], names=["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"])
                 else:
                     held = np.concatenate([[0], np.cumsum(sizes[piece])])
                     digest = [hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(first[rows], first[rows + 1])]
                     yield pa.RecordBatch.from_arrays(
                         [*head, pa.array(n), pa.array(held[first[rows + 1]] - held[first[rows]]), *scores, pa.array(digest, pa.string())],
-                        names=["doc_id", "sample", "n_pieces", "n_bytes", "log_prob", "perturbed", "inclusion", "ids_sha256"],
+                        names=["doc_id", "sample", "n_pieces", "n_bytes", "log_prob", "perturbed", "log_inclusion", "ids_sha256"],
                     )
 
 
