@@ -2,8 +2,9 @@
 
 OP1 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d)),
-m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+piece AS MATERIALIZED (SELECT doc_id, j, n, substr(h, 400 * j + 1, 498) AS s FROM (SELECT doc_id, h, length(h) // 2 AS n, unnest(range(0, (length(h) // 2 + 199) // 200)) AS j FROM d)),
+w AS MATERIALIZED (SELECT doc_id, 200 * j + o AS p, substr(s, 2 * o + 1, 100) AS s FROM (SELECT *, unnest(range(0, least(200, n - 49 - 200 * j))) AS o FROM piece)),
+m AS MATERIALIZED (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
 hit AS (SELECT doc_id, p FROM w JOIN m USING (s) WHERE doc_id > least),
 mark AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS fresh FROM hit),
 run AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM mark),

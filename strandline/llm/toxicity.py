@@ -4,18 +4,17 @@ Voters are words and word beginnings. A seed lexicon of insults votes for 1; the
 labelled fold adds terms that are far more frequent in texts labelled 1 (lexicon
 and prefix pattern voters), and one voter votes for 0 where no term is found.
 A generative label model over the voters' firing patterns estimates their
-accuracies by expectation-maximisation; a voter that doesn't fire abstains. Voters that fire together beyond what the
-model explains (correlated pairs) share their weight, as copies of one voter
-would. A logistic classifier over the same terms is then trained on the posterior
-labels of the sample, and scores every whole text.
+accuracies by expectation-maximisation; a voter that doesn't fire abstains. Of
+voters that nearly always fire together (correlated ones, as a word and its
+beginning) the strongest counts. A logistic classifier over the same terms is
+then trained on the posterior labels of the sample, and scores every whole text.
 
 Fitting takes at most SAMPLE labelled rows, those with the least hash of their
 id, from the learning fold only (crc32 of the id as text, modulo 5, not 0); the
 bound is a parameter. Scoring is per row, without shuffle.
 
 Features are marks of distinct terms, so a text's length alone doesn't move its
-score. Labels, language, source and id are never
-inputs of a score.
+score. Labels, language, source and id are never inputs of a score.
 
 Defined results: null and empty texts score as a text without any term; rows
 with a null id count as held out; repeated rows score alike. Without a labelled
@@ -72,30 +71,40 @@ def held_out(doc_id) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
+def families(votes: np.ndarray) -> np.ndarray:
+    """Voters that say the same: one fires nearly always where the other does, as a word and its beginning. A number for each."""
+    seen = votes.sum(0)
+    both = votes.T @ votes
+    tied = both > 0.9 * np.minimum.outer(seen, seen)
+    name = np.arange(len(seen))
+    while True:
+        least = np.where(tied, name[None, :], len(seen)).min(1)
+        least = np.minimum(name, least)
+        if (least == name).all():
+            return name
+        name = least
+
+
 def _em(votes: np.ndarray, sure: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Dawid-Skene for voters that fire (1) or abstain (0): posteriors, and firing rates in classes 1 and 0.
 
     sure: the lower bound of each voter's precision on the labelled fold; no voter counts for more.
+    Of a family of correlated voters, the strongest that fires counts, as copies of one voter would.
     """
-    any_vote = votes.sum(1)
+    any_vote = votes.any(1)
     post = np.maximum((votes * sure).max(1), 0.02)
-    share = np.ones(votes.shape[1])
-    for step in range(rounds):
+    name = families(votes)
+    order = np.argsort(name, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(name[order]) != 0))
+    for _ in range(rounds):
+        share = float(np.clip(post.mean(), 0.005, 0.5))
         on = (post @ votes + 0.5) / (post.sum() + 1)
         off = ((1 - post) @ votes + 0.05) / ((1 - post).sum() + 1)
-        share_of_1 = np.clip(post.mean(), 0.005, 0.5)
-        off = np.maximum(off, on * (1 - sure) / sure * share_of_1 / (1 - share_of_1))
+        off = np.maximum(off, on * (1 - sure) / sure * share / (1 - share))
         off = np.minimum(off, on * 0.9)  # a voter for 1 is taken to do better than chance
-        if step == 5:  # correlations: pairs that fire together beyond what both classes explain share their weight
-            seen = votes.sum(0)
-            both = votes.T @ votes
-            expect = np.outer(on, on) * post.sum() + np.outer(off, off) * (1 - post).sum()
-            tied = (both > 4 * expect + 2) & (both > 0.5 * np.minimum.outer(seen, seen))
-            np.fill_diagonal(tied, True)
-            share = 1.0 / tied.sum(1)
-        log = votes @ (share * np.log(on / off)) - np.where(any_vote > 0, 0.0, 6.0)  # a voter that doesn't fire abstains
-        prior = float(np.clip(post.mean(), 0.005, 0.5))
-        post = 1 / (1 + np.exp(-np.clip(log + np.log(prior / (1 - prior)), -40, 40)))
+        log = np.maximum.reduceat(votes[:, order] * np.log(on / off)[order], starts, axis=1).sum(1)
+        log -= np.where(any_vote, 0.0, 6.0)  # a voter that doesn't fire abstains
+        post = 1 / (1 + np.exp(-np.clip(log + np.log(share / (1 - share)), -40, 40)))
     return post, on, off
 
 
@@ -159,14 +168,14 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     counted = rows.mapInArrow(T.shipped(__name__, "count_batches"), "code long, ones long, zeros long").groupBy("code").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     rate = (F.col("ones") + base) / (F.col("ones") + F.col("zeros") + 1)
     seeds = F.col("code").isin([int(x) for x in seed])
-    good = counted.filter(((F.col("ones") >= least) & (rate > 0.84)) | seeds)
+    good = counted.filter(((F.col("ones") >= least) & (rate > 0.84) & (F.col("zeros") * 50 <= F.col("ones") + F.col("zeros"))) | seeds)
     chosen = sorted(tuple(r) for r in good.orderBy(F.desc(F.col("ones") * rate), "code").limit(most_terms).select("code", "ones", "zeros").collect())
     codes = np.array([r[0] for r in chosen], np.int64).astype(U)
-    sure = np.array([max(r[1], 0.5) / (r[1] + r[2] + 6) for r in chosen])
+    sure = np.array([max(r[1], 0.5) / (r[1] + r[2] + 10) for r in chosen])
     if not len(codes):
         return plain
     fired = sorted(map(tuple, rows.mapInArrow(T.shipped(__name__, "vote_batches", codes.tobytes()), "doc_id long, voters array<int>").collect()))
-    votes = np.zeros((len(fired), len(codes)))
+    votes = np.zeros((len(fired), len(codes)), np.float32)
     for i, (_, v) in enumerate(fired):
         votes[i, v] = 1
     weights, bias = fit(votes, sure)
