@@ -57,8 +57,12 @@ class Film:
             near = np.minimum(near, np.where((self.t >= a) & (self.t <= b), 0.0, np.minimum(abs(self.t - a), abs(self.t - b))))
         self.cue = np.where(near <= options.anchor_distance, 1 - near / options.anchor_distance, 0.0)
 
-    def span(self, a: float, b: float) -> np.ndarray:
-        return np.flatnonzero((self.t >= a - SLACK) & (self.t <= b + SLACK))
+    def span(self, a: float, b: float, inside: np.ndarray | None = None) -> np.ndarray:
+        """Samples from a to b, of a stretch of samples if one is given."""
+        lo, hi = np.searchsorted(self.t, a - SLACK, "left"), np.searchsorted(self.t, b + SLACK, "right")
+        if inside is not None:
+            lo, hi = (max(lo, inside[0]), min(hi, inside[-1] + 1)) if len(inside) else (0, 0)
+        return np.arange(lo, hi)
 
     def useful(self, i: np.ndarray) -> np.ndarray:
         good = i[~self.low[i]]
@@ -110,8 +114,6 @@ class Film:
         """Between cuts, long ones halved at their largest change, breadth first; that order stays."""
         at = [start, *self.t[self.cuts(i, start, end)], end]
         most, out = max(self.o.max_segment, 2 * self.o.min_segment), []
-        inside = np.zeros(len(self.t), bool)
-        inside[i] = True
         for first in zip(at, at[1:]):
             todo = deque([first])
             while todo:
@@ -119,8 +121,7 @@ class Film:
                 if b - a <= most:
                     out.append((a, b))
                     continue
-                k = self.span(a + self.o.min_segment, b - self.o.min_segment)
-                k = k[inside[k]]
+                k = self.span(a + self.o.min_segment, b - self.o.min_segment, i)
                 cut = float(self.t[k[np.argmax(self.change[k])]]) if len(k) else a + (b - a) / 2
                 todo.extend(((a, cut), (cut, b)))
         return [(a, b) for a, b in out if b - a >= min(1.0, self.o.min_segment)]
@@ -128,7 +129,7 @@ class Film:
     def segment_pick(self, a: float, b: float, inside: np.ndarray, taken: list[float]) -> Pick | None:
         pad = min(1.5, 0.18 * max(SLACK, b - a))
         for x, y in ((a + pad, b - pad), (a, b)):
-            i = np.intersect1d(self.span(x, y), inside)
+            i = self.span(x, y, inside)
             if len(i):
                 use = self.useful(i)
                 return self.best(use, self.typical(use, i, taken), "segment-representative", a, b)
@@ -157,7 +158,7 @@ class Film:
 
     def event_pick(self, k: int, strength: float, inside: np.ndarray, taken: list[float]) -> Pick | None:
         a, b = self.t[k], self.t[k] + self.o.micro_lookahead
-        i = np.intersect1d(self.span(a, b), inside)
+        i = self.span(a, b, inside)
         if not len(i):
             return None
         i = self.useful(i)
@@ -171,11 +172,11 @@ class Film:
     # coverage
 
     def near_target(self, target: float, radius: float, inside: np.ndarray, left: float, right: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        i = np.intersect1d(self.span(target - radius, target + radius), inside)
+        i = self.span(target - radius, target + radius, inside)
         if not len(i):
             return None
         i = self.useful(i)
-        among = np.intersect1d(self.span(left, right), inside)
+        among = self.span(left, right, inside)
         return i, among if len(among) else i, 1 - np.clip(abs(self.t[i] - target) / max(SLACK, radius), 0, 1)
 
     def boundary_cover(self, chosen: list[Pick], inside: np.ndarray, start: float, end: float) -> list[Pick]:
@@ -237,7 +238,7 @@ class Film:
             if gap <= o.action_gap or len(added) >= o.max_action_picks:
                 continue
             pad = min(4.0, 0.2 * gap)
-            i = self.useful(np.intersect1d(self.span(left + pad, right - pad), inside))
+            i = self.useful(self.span(left + pad, right - pad, inside))
             if not len(i):
                 continue
             action, colour = self.activity(i, left, right)
