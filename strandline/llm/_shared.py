@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="strandline-")
+        _own[app] = found
     return found.rstrip("/")
 
 

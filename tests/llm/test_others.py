@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import _text as T, fixity, neighbours, registry, segment, toxicity, urls
+from strandline.llm import _shared, _text as T, fixity, neighbours, registry, segment, toxicity, urls
 
 from . import helpers as H
 
@@ -228,3 +228,22 @@ def test_stages_on_rows_that_are_hard(spark, tmp_path):
         assert out.count() > 0, name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
         docs = docs if name == corpus_pipeline.STAGES[-1][0] else out.select(*docs.columns)
+
+
+def test_shared_folder_is_the_session_s(spark):
+    assert _shared.folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+    class Unset:
+        class conf:
+            @staticmethod
+            def get(_key, default=None):
+                return default
+
+        class sparkContext:
+            applicationId = "unset"
+
+            @staticmethod
+            def getConf():
+                return Unset.conf
+
+    assert _shared.folder(Unset) == _shared.folder(Unset) and _shared.folder(Unset).startswith("file://")
