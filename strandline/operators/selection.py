@@ -348,7 +348,9 @@ def adaptive_chunks(samples: DataFrame, cues: DataFrame, options: Options = Opti
         rows = [(key[0], n, a, b, p.time, p.score, p.reason) for n, (a, b, picks) in enumerate(f.chunks(float(f.t[0]), float(f.t[-1])), 1) for p in picks]
         return pd.DataFrame(rows, columns=columns)
 
-    return samples.groupBy("film_id").cogroup(cues.select("film_id", "start", "end").groupBy("film_id")).applyInPandas(film, PICKS)
+    n = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given outright, else small films end in one task
+    left, right = samples.repartition(n, "film_id"), cues.select("film_id", "start", "end").repartition(n, "film_id")
+    return left.groupBy("film_id").cogroup(right.groupBy("film_id")).applyInPandas(film, PICKS)
 
 
 def segment_bounds(samples: DataFrame, options: Options = Options()) -> DataFrame:
