@@ -43,7 +43,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[
             use = (at + width <= n[row]) | ((n[row] < width) & (at == 0))
             code = T.mix(whole[use] + np.minimum(n[row[use]], width).astype(U)) >> U(12)
             key = np.unique(row[use].astype(U) << U(52) | code)
-            where = np.searchsorted(key, np.arange(j - i + 1, dtype=U) << U(52))
+            where = np.append(np.searchsorted(key, np.arange(j - i, dtype=U) << U(52)), len(key))  # ROWS << 52 would be past 64 bits
             yield i, j, key & U((1 << 52) - 1), where
 
 

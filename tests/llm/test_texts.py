@@ -1,6 +1,7 @@
 """Operators over texts against brute force, with nulls, empties, ties, repeats and clashing columns."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +138,19 @@ def test_super_minhash_is_unbiased_and_sharper():
     assert (small[0] == np.uint64(2**64 - 1)).all() and (small[1] != np.uint64(2**64 - 1)).all()
 
 
+@pytest.mark.parametrize("n", [4095, 4096, 10_000])
+def test_shingles_of_many_short_rows(n):
+    texts = [None if i % 7 == 0 else "" if i % 7 == 1 else f"a{i % 50} b c{i % 3}" for i in range(n)]
+    batch = pa.record_batch({"doc_id": pa.array(range(n), pa.int64()), "text": pa.array(texts, pa.string())})
+    got = pa.Table.from_batches(near.sign_batches(iter([batch]), 3, near.BANDS, near.ROWS)).to_pydict()
+    assert got["doc_id"] == list(range(n))
+    assert got["n_shingles"] == [len(H.shingles(t, 3)) for t in texts]
+    alone = {}
+    for t, code in zip(texts, got["code"]):
+        assert alone.setdefault(t or "", code) == code
+    assert len(set(alone.values())) == len(alone)
+
+
 def test_mix(docs, data):
     got = mixing.mix(docs).collect()
     size = lambda t: len(H.WORD.findall(t or ""))
