@@ -14,10 +14,8 @@ from strandline.llm import _shared, mixing, near, personal, quality, segment
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows that share an id and differ are judged together: one that fails takes the others along."""
-    judged = quality.judge_quality(docs).groupBy(F.col("doc_id").alias("__doc")).agg(F.min("kept").alias("__kept"))
-    kept = judged.filter("__kept").hint("shuffle_hash")
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__doc"]), "left_semi").select(*docs.columns)
+    """Documents that the quality rules keep, each row by its own text."""
+    return quality.keep_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -126,6 +126,10 @@ def _repeats(b: Column) -> Column:
 
 def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document."""
+    return _taken(documents, id_col, source_col, text_col, weights, most).drop("source")
+
+
+def _taken(documents: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...], most: int) -> DataFrame:
     sizes = _shared.written(sized(documents, id_col, source_col, text_col), "sizes")
     sources = targets(sizes, weights, most)
     drawn = draws(sources, most=most).groupBy("number").agg(F.sum("count").alias("drawn"))
@@ -136,7 +140,7 @@ def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     overlap = lambda b: F.least(end, (b + 1) * BLOCK) - F.greatest(F.col("start"), b * BLOCK)
     blocks = F.sequence(F.floor(F.col("start") / BLOCK), F.floor((end - 1) / BLOCK))
     taken = F.when(F.col("size") > 0, F.aggregate(blocks, F.lit(0).cast("long"), lambda acc, b: acc + overlap(b) * _repeats(b))).otherwise(0)
-    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def emit(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -157,12 +161,15 @@ def emit(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source
 
 
 def remix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """documents in the mix: each row as often as its words are taken on average, rounded at random by its id.
+    """documents in the mix: each row as often as its words are taken on average, rounded at random by its id, or by its text without one.
 
-    Rows of which no words are taken, and those without words, go.
+    Rows of one id and source, and those of a source without an id, have their
+    average in common. Rows of which no words are taken, and those without words, go.
     """
-    share = mix(documents, id_col, source_col, text_col, weights, most).filter("size > 0").groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("__share"))
-    u = _hash(F.pmod(F.coalesce("__doc", F.lit(0)), F.lit(PRIME)), 3) / float(PRIME)
-    rows = documents.withColumn("__doc", F.col(id_col).cast("long")).join(share.withColumnRenamed("doc_id", "__doc").hint("shuffle_hash"), "__doc")
+    taken = _taken(documents, id_col, source_col, text_col, weights, most).filter("size > 0")
+    share = taken.groupBy(F.col("doc_id").alias("__of"), F.col("source").alias("__from")).agg((F.sum("taken") / F.sum("size")).alias("__share")).hint("shuffle_hash")
+    u = _hash(F.pmod(F.coalesce("__doc", F.xxhash64(F.col(text_col))), F.lit(PRIME)), 3) / float(PRIME)
+    rows = documents.filter(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).withColumn("__doc", F.col(id_col).cast("long")).withColumn("__source", F.col(source_col).cast("string"))
+    rows = rows.join(share, F.col("__doc").eqNullSafe(F.col("__of")) & F.col("__source").eqNullSafe(F.col("__from")))
     copies = F.floor(F.col("__share") + u).cast("int")
     return rows.withColumn("__copies", copies).filter("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*documents.columns)

@@ -152,20 +152,34 @@ def measure(data: np.ndarray, offsets: np.ndarray, min_words: int) -> dict[str,
     return out
 
 
+def _judged(column: pa.Array, min_words: int, max_covered: float, max_longest: float) -> dict[str, np.ndarray]:
+    """All counts and the verdict of the texts of one batch."""
+    data, offsets = T.flat(column)
+    parts = []
+    for i, j in T.chunks(offsets, CHUNK):
+        o = offsets[i : j + 1]
+        parts.append(measure(data[o[0] : o[-1]], o - o[0], min_words))
+    if not parts:
+        return {}
+    x = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    n = x["n_words"]
+    x["base_failed"] = (n < 20) | (100 * x["n_repeat_words"] > 30 * n)
+    x["kept"] = ~x["base_failed"] & (x["n_covered_words"] <= max_covered * n) & (x["longest_repeat"] <= max_longest * n)
+    return x
+
+
 def judge_batches(batches: Iterator[pa.RecordBatch], min_words: int, max_covered: float, max_longest: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = T.flat(batch.column("text"))
-        parts = []
-        for i, j in T.chunks(offsets, CHUNK):
-            o = offsets[i : j + 1]
-            parts.append(measure(data[o[0] : o[-1]], o - o[0], min_words))
-        if not parts:
-            continue
-        x = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-        n = x["n_words"]
-        x["base_failed"] = (n < 20) | (100 * x["n_repeat_words"] > 30 * n)
-        x["kept"] = ~x["base_failed"] & (x["n_covered_words"] <= max_covered * n) & (x["longest_repeat"] <= max_longest * n)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id") if k == "doc_id" else pa.array(x[k], t) for k, t in FIELDS], names=[k for k, _ in FIELDS])
+        x = _judged(batch.column("text"), min_words, max_covered, max_longest)
+        if x:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id") if k == "doc_id" else pa.array(x[k], t) for k, t in FIELDS], names=[k for k, _ in FIELDS])
+
+
+def kept_batches(batches: Iterator[pa.RecordBatch], text_col: str, min_words: int, max_covered: float, max_longest: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = _judged(batch.column(text_col), min_words, max_covered, max_longest)
+        if x:
+            yield batch.filter(pa.array(x["kept"]))
 
 
 def judge_quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST) -> DataFrame:
@@ -179,3 +193,10 @@ def judge_quality(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("repeats of fewer than 4 words are not kept")
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(T.shipped(__name__, "judge_batches", min_words, max_covered, max_longest), SCHEMA)
+
+
+def keep_quality(documents: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST) -> DataFrame:
+    """The rows that judge_quality keeps, each by its own text, whatever its id."""
+    if min_words < 4:
+        raise ValueError("repeats of fewer than 4 words are not kept")
+    return documents.mapInArrow(T.shipped(__name__, "kept_batches", text_col, min_words, max_covered, max_longest), documents.schema)

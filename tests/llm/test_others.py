@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import _shared, _text as T, fixity, neighbours, registry, segment, toxicity, urls
+from strandline.llm import _shared, _text as T, fixity, mixing, neighbours, registry, segment, toxicity, urls
 
 from . import helpers as H
 
@@ -230,6 +230,32 @@ def test_stages_on_rows_that_are_hard(spark, tmp_path):
         docs = docs if name == corpus_pipeline.STAGES[-1][0] else out.select(*docs.columns)
 
 
+def test_stages_keep_rows_without_an_id(spark, tmp_path):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    data = [(None, text(k), "en", "ab"[k % 2], 1) for k in range(60)] + [(None, "too short", "en", "a", 1), (None, None, "en", None, 1)]
+    data += [(7, text(100), "en", "a", 1), (7, "short too", "en", "a", 1), (8, text(101), "en", "b", 1)]
+    quality, _, _, mix, _ = (f for _, f in corpus_pipeline.STAGES)
+    docs = H.documents(spark, data)
+    want = [(r[0], r[1]) for r in data if H.brute_quality(r[1])[-1]]
+    assert len(want) == 62
+    kept = quality(spark, docs, str(tmp_path))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
+    share = {s: sum(r.taken for r in rows) / sum(r["size"] for r in rows) for s, rows in _by_source(mixing.mix(kept).collect(), "a", "b").items()}
+    mixed = mix(spark, kept, str(tmp_path)).collect()
+    for s in "ab":
+        held = Counter(r.text for r in mixed if r.source == s and r.doc_id is None)
+        assert abs(sum(held.values()) - 30 * share[s]) <= 12 and max(held.values()) <= math.ceil(share[s])
+        assert len(held) >= min(30, 30 * share[s] - 12)
+    hard = mix(spark, docs, str(tmp_path)).collect()
+    assert all(r.text and H.WORD.search(r.text) for r in hard) and any(r.doc_id is None for r in hard)
+
+
+def _by_source(rows, *names):
+    """Rows of mix() by source: the sizes of sources are told apart by their targets."""
+    targets = sorted({r.target for r in rows})
+    return {s: [r for r in rows if r.target == t] for s, t in zip(names, targets)}
+
+
 def test_shared_folder_is_the_session_s(spark):
     assert _shared.folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
