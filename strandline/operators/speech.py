@@ -63,9 +63,9 @@ def plain(text: str) -> str:
 def similarity(a: str, b: str) -> float:
     """1 for equal texts, .78 or more where one holds the other, else the share of matching runs; the best over parts."""
     best = 0.0
-    for x in [a, *a.split("/")]:
-        for y in [b, *b.split("/")]:
-            p, q = plain(x), plain(y)
+    others = [plain(y) for y in dict.fromkeys([b, *b.split("/")])]
+    for p in [plain(x) for x in dict.fromkeys([a, *a.split("/")])]:
+        for q in others:
             if not p or not q:
                 continue
             if p == q:

@@ -251,14 +251,14 @@ def ocr_row_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ocr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cues from repeated readings of a conversation's turns."""
     q = V.cues(spark, sf_dir)
-    reading = q.select("film_id", F.explode(F.array(*(F.col("start") + 0.5 * i for i in range(3)))).alias("time"), F.substring("text", 1, 30).alias("text"), F.lit(0.8).alias("confidence"))
+    reading = q.select("film_id", F.explode(F.array(*(F.col("start") + 0.5 * i for i in range(3)))).alias("time"), "text", F.lit(0.8).alias("confidence"))
     return speech.merge_readings(reading, 0.5)
 
 
 @register("text_similarity")
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How alike each cue's opening is to that of the cue before."""
-    q = V.cues(spark, sf_dir).select("film_id", "ord", F.substring("text", 1, 60).alias("x"))
+    """How alike each cue is to the cue before, whole texts."""
+    q = V.cues(spark, sf_dir).select("film_id", "ord", F.col("text").alias("x"))
     before = F.lag("x").over(Window.partitionBy("film_id").orderBy("ord"))
     return q.withColumn("y", before).filter("y is not null").select("film_id", "ord", F.bround(speech.text_similarity("x", "y"), 6).alias("alike"), speech.normalized("x").alias("plain"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import folds, intervals as I, retention, selection as S, speech
 from strandline.options import Options
+from strandline.plans import library
 from strandline.sources import subtitles
 from strandline.streaming import marks
 
@@ -126,6 +127,19 @@ def test_readings_merge(spark):
     assert got == [(0.0, 1.5, "Hello world", 3), (12.0, 12.5, "Alone", 1)]
 
 
+def test_whole_cues_are_compared_and_merged(spark, tmp_path):
+    opening = "the same opening of every cue, far longer than sixty characters in all, "
+    texts = [opening + "then rain", opening + "and " + "quite another ending " * 9, opening + "then rain", "Short / " + opening]
+    rows = [(c, k, "user", t) for c in (1, 2) for k, t in enumerate(texts[c - 1 :])]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.film_id, r.ord): (r.alike, r.plain) for r in library.text_similarity(spark, str(tmp_path)).collect()}
+    want = {(c, k): (speech.similarity(t, texts[c + k - 2]), speech.plain(t)) for c, k, _, t in rows if k}
+    assert set(got) == set(want) and min(a for a, _ in want.values()) < 0.7
+    assert all(got[k] == (pytest.approx(a, abs=1e-6), p) for k, (a, p) in want.items())
+    merged = [(r.film_id, r.start, r.end, r.text, r.observations) for r in library.ocr_merge(spark, str(tmp_path)).orderBy("film_id", "start").collect()]
+    assert merged == [(c, 4.0 * k, 4.0 * k + 1.5, t, 3) for c, k, _, t in rows]
+
+
 def test_expiry_is_closed(spark):
     d = spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS a, timestamp'2024-01-02 00:00:00' AS b")
     assert d.select(retention.expired(F.col("a"), F.col("b"), 86400.0), retention.expired(F.col("a"), F.col("b"), 86400.1)).first()[:] == (True, False)
