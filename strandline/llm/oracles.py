@@ -121,11 +121,11 @@ t AS (SELECT doc_id, start, CAST(sum((least(start + size, (b + 1) * 16) - greate
 SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(t.taken, 0) AS taken FROM q LEFT JOIN t USING (doc_id, start)
 """
 
-_RECORD = "'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode({0})) || chr(13) || chr(10) || chr(13) || chr(10) || {0} || chr(13) || chr(10) || chr(13) || chr(10)"
+_RECORD = "'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode({0})) || chr(13) || chr(10) || chr(13) || chr(10) || {0} || chr(13) || chr(10) || chr(13) || chr(10)"
 OP8 = f"""
-WITH p AS (SELECT page_id, page_id // 1000 AS file, url, coalesce(html, '') AS h, CASE WHEN page_id % 97 = 13 THEN '~' || substr(html, 2) ELSE html END AS bad FROM pages),
+WITH p AS (SELECT page_id, page_id // 1024 AS file, url, coalesce(html, '') AS h, CASE WHEN page_id % 97 = 13 THEN '~' || substr(coalesce(html, ''), 2) ELSE coalesce(html, '') END AS bad FROM pages),
 r AS (SELECT page_id, file, {_RECORD.format('h')} AS rec, {_RECORD.format('bad')} AS other FROM p),
-o AS (SELECT *, coalesce(CAST(sum(octet_length(encode(rec))) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS "offset" FROM r)
+o AS (SELECT *, coalesce(CAST(sum(octet_length(encode(rec))) OVER (PARTITION BY file ORDER BY page_id, sha256(rec) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS "offset" FROM r)
 SELECT file, "offset", page_id, sha256(rec) AS expected, CASE WHEN page_id % 211 <> 5 THEN sha256(other) END AS found,
        CASE WHEN page_id % 211 = 5 THEN 'missing' ELSE 'altered' END AS kind
 FROM o WHERE page_id % 211 = 5 OR page_id % 97 = 13

@@ -62,19 +62,38 @@ def pages(spark, n=400):
     return spark.createDataFrame([(i, f"http://a/{i}" if i % 9 else None, f"<p>é{i}</p>" * (i % 50) if i % 11 else None) for i in range(n)], "page_id long, url string, html string")
 
 
+def faults(left, right):
+    return Counter((r.page_id, r.kind) for r in fixity.audit(left, right, size=8, fanout=4, levels=3).collect())
+
+
 def test_fixity_finds_every_fault(spark):
     p = pages(spark).withColumn("digest", F.lit("clash"))
-    index = fixity.archive(p, records=100)
-    assert fixity.audit(index, index, size=2048, levels=3).count() == 0
-    bad = index.withColumn("digest", F.when(F.col("page_id").isin(3, 250), F.lit("x")).otherwise(F.col("digest"))).filter("page_id <> 77")
-    got = {(r.page_id, r.kind) for r in fixity.audit(index, bad, size=2048, levels=3).collect()}
-    assert got == {(3, "altered"), (250, "altered"), (77, "missing")}
-    assert {(r.page_id, r.kind) for r in fixity.audit(bad, index, size=2048, levels=3).collect()} == {(3, "altered"), (250, "altered"), (77, "extra")}
+    index = fixity.archive(p, size=128)
+    assert not faults(index, index)
+    changed = p.withColumn("html", F.when(F.col("page_id").isin(3, 250), F.lit("longer than before")).otherwise(F.col("html"))).filter("page_id <> 77")
+    bad = fixity.archive(changed, size=128)
+    assert faults(index, bad) == {(3, "altered"): 1, (250, "altered"): 1, (77, "missing"): 1}
+    assert faults(bad, index) == {(3, "altered"): 1, (250, "altered"): 1, (77, "extra"): 1}
     rows = index.filter("file = 0").orderBy("offset").collect()
-    assert all(a.offset + a.length == b.offset for a, b in itertools.pairwise(rows))
+    assert [r.page_id for r in rows] == list(range(128)) and all(a.offset + a.length == b.offset for a, b in itertools.pairwise(rows))
     assert fixity.audit_pages(p.limit(0)).collect() == []
 
 
+def test_fixity_of_repeated_and_null_ids(spark):
+    rows = [(i, f"u{i}", "x" * i) for i in range(300)] + [(1, f"v{k}", "y") for k in range(50)] + [(1, "v0", "y")] * 3 + [(None, f"n{k % 20}", "z" * k) for k in range(40)] + [(None, None, None)] * 2
+    at = spark.createDataFrame(rows, "page_id long, url string, html string")
+    index = fixity.archive(at, size=128)
+    assert index.count() == len(rows) and not faults(index, fixity.archive(at.repartition(7), size=128))
+    del rows[200]
+    assert faults(index, fixity.archive(spark.createDataFrame(rows, at.schema), size=128)) == {(200, "missing"): 1}
+    rows.remove((1, "v0", "y"))
+    rows.remove((None, "n3", "z" * 3))
+    rows[rows.index((1, "v7", "y"))] = (1, "v7", "Y")
+    rows.append((None, "new", "q"))
+    got = faults(index, fixity.archive(spark.createDataFrame(rows, at.schema), size=128))
+    assert got == {(200, "missing"): 1, (1, "altered"): 1, (1, "missing"): 1, (None, "missing"): 1, (None, "extra"): 1}
+
+
 def test_roots_differ_on_one_byte(spark):
     a = fixity.nodes(fixity.archive(pages(spark, 20)))
     b = fixity.nodes(fixity.archive(fixity.damaged(pages(spark, 20))))
