@@ -1,5 +1,7 @@
 """Operators over texts against brute force, with nulls, empties, ties, repeats and clashing columns."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -80,6 +82,18 @@ def test_masking_and_added_spans(spark):
     assert got[1] == 'token = "[KEY]" for [EMAIL], é [PHONE].' and got[0] == "plain words about a12 and 2020-01"
 
 
+def test_many_spans_of_one_text(spark):
+    t = " ".join(f"a{i}@b{i}.co 10.0.{i % 256}.{i % 200} key=AKIA{i:012d}" for i in range(60_000)) + " " + "1.2.3.4." * 3000 + "x@y.zz end"
+    d = H.documents(spark, [(1, t, "", "", 1)])
+    began = time.monotonic()
+    got = personal.digest(personal.find_personal(d)).first()
+    base = H.brute_personal(t)
+    assert got.n_email == 60_001 and got.base_sha256 == H.sha(",".join(f"{k}:{a}:{z}" for k, a, z in base).encode())
+    masked = personal.mask_personal(d, mask="<{}%>").first().text
+    assert masked == "<EMAIL%> <IP%> key=<KEY%> " * 60_000 + "<EMAIL%> end"
+    assert time.monotonic() - began < 90
+
+
 def test_fit_prefers_agreeing_voters():
     w = personal.fit([("key", (1, 1, 1, 1), 50), ("key", (-1, 0, 0, -1), 200), ("key", (1, 0, 1, 1), 30), ("local", (0, 0, -1, 0), 40)])
     assert w["vote", 2, 1] > 0 > w["vote", 3, -1]
