@@ -130,3 +130,19 @@ SELECT file, "offset", page_id, sha256(rec) AS expected, CASE WHEN page_id % 211
        CASE WHEN page_id % 211 = 5 THEN 'missing' ELSE 'altered' END AS kind
 FROM o WHERE page_id % 211 = 5 OR page_id % 97 = 13
 """
+
+_EACH = "SELECT doc_id, {k} AS k, unnest(string_split_regex(t, '{r}')) AS gap, unnest(regexp_extract_all(t, '{r}')) AS hit, unnest(range(len(regexp_extract_all(t, '{r}')) + 1)) AS i FROM d"
+_KINDS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+PERSONAL_BASE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+e AS ({" UNION ALL ".join(_EACH.format(k=k, r=r) for k, r in enumerate(_KINDS))}),
+f AS (SELECT doc_id, k, hit, regexp_replace(hit, '[^0-9]', '', 'g') AS digits,
+        CAST(coalesce(sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY doc_id, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) + length(gap) AS a FROM e),
+g AS (SELECT *, a + length(hit) AS z FROM f WHERE hit IS NOT NULL AND CASE k WHEN 0 THEN true
+        WHEN 1 THEN len(list_filter(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255'))) = 0
+        WHEN 2 THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(string_split(reverse(digits), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INT) ELSE CAST(c AS INT) * 2 - CASE WHEN c > '4' THEN 9 ELSE 0 END END)) % 10 = 0
+        ELSE length(digits) BETWEEN 8 AND 15 END)
+SELECT d.doc_id, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+       sha256(coalesce(string_agg(['email', 'ip', 'card', 'phone'][k + 1] || ':' || a || ':' || z, ',' ORDER BY k, a) FILTER (k IS NOT NULL), '')) AS base_sha256
+FROM d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id
+"""

@@ -51,6 +51,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.digest(personal.find_personal(_table(spark, sf_dir, "documents")))
 
 
+@_query("personal_base", oracles.PERSONAL_BASE)
+def personal_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op2: its base spans."""
+    return op2(spark, sf_dir).drop("spans")
+
+
 @_query("op6_super_minhash", oracles.OP6)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
