@@ -5,13 +5,19 @@
    here on (the least id stands for them), so exact copies cost one row each.
 2. Nodes that share a band meet: each band links its nodes to its least node, and
    components of these links are the clusters within which links can lie.
-3. The sets of clustered nodes, and only those, are read again and sent to their
-   cluster, cut into blocks of bounded bytes. Within a block, nodes that share a
-   band are compared on full sets; comparisons stop once they can't join two
-   components. The cluster's least node is compared with every block.
-4. In clusters of several blocks, nodes that are not yet with the least node are
+3. The sets of clustered nodes, and only those, are read again. A cluster over
+   block_bytes is clustered anew by the rare items of its sets: with items in one
+   order, rare ones first, two sets can only be alike enough if the first few items
+   of each have one in common (prefix filter; exact in any order). Texts that share
+   boilerplate and nothing else fall apart here. The order comes from counts of
+   items in COUNTERS hash buckets, whatever the size of the input.
+4. Sets are sent to their cluster, cut into blocks of bounded bytes. Within a block,
+   the prefix filter by the block's own counts, sizes and positions leave candidates,
+   which are verified on full sets, one node against many at once; what can't join
+   two components isn't compared. The cluster's least node is compared with every block.
+5. In clusters of several blocks, nodes that are not yet with the least node are
    compared with the other blocks too, so no link between different blocks is lost.
-5. Components of the confirmed links are the result.
+6. Components of the confirmed links are the result.
 
 With 25 bands of 5 values a pair at similarity 0.85 shares no band with
 probability 4e-7; pairs above, less. There is no cap on a band's nodes.
@@ -37,8 +43,9 @@ from .shingles import shingle_sets, super_minhash
 U = np.uint64
 BANDS, ROWS = 25, 5
 SIGNED = "doc_id long, n_shingles long, code binary, bands array<long>"
-SETS = "node long, cluster long, bands binary, items binary"
-_SETS = pa.schema([("node", pa.int64()), ("cluster", pa.int64()), ("bands", pa.binary()), ("items", pa.binary())])
+SETS = "node long, cluster long, items binary"
+_SETS = pa.schema([("node", pa.int64()), ("cluster", pa.int64()), ("items", pa.binary())])
+COUNTERS = 1 << 18
 
 
 def _bands(items: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -64,60 +71,117 @@ def sign_batches(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n), pa.array([r.tobytes() for r in code], pa.binary()), lists], names=["doc_id", "n_shingles", "code", "bands"])
 
 
-def set_batches(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+def set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = T.flat(batch.column("text"))
         for i, j, items, o in shingle_sets(data, offsets, width):
-            h = _bands(items, o, bands, rows)
-            yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), batch.column("cluster").slice(i, j - i), pa.array([r.tobytes() for r in h], pa.binary()), pa.array([items[o[k] : o[k + 1]].tobytes() for k in range(j - i)], pa.binary())], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), batch.column("cluster").slice(i, j - i), pa.array([items[o[k] : o[k + 1]].tobytes() for k in range(j - i)], pa.binary())], schema=_SETS)
+
+
+def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many items of a task's sets fall into each hash bucket."""
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        items, _ = T.flat(batch.column("items"))
+        total += np.bincount((items.view(U) & U(COUNTERS - 1)).view(np.int64), minlength=COUNTERS)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["counter", "n"])
+
+
+def _need(n: np.ndarray, percent: int) -> np.ndarray:
+    """The least number of common items with which a set of n can be linked."""
+    return -(-percent * n // 100)
+
+
+def prefix_batches(batches: Iterator[pa.RecordBatch], counts: bytes, percent: int) -> Iterator[pa.RecordBatch]:
+    """The first items of each set, rare ones first, of which a linked set must share one."""
+    known = np.frombuffer(counts, np.int64)
+    for batch in batches:
+        data, offsets = T.flat(batch.column("items"))
+        for i, j in T.chunks(offsets, 1 << 22):
+            items = data[offsets[i] : offsets[j]].view(U)
+            o = (offsets[i : j + 1] - offsets[i]) // 8
+            n = np.diff(o)
+            row = np.repeat(np.arange(j - i), n)
+            order = np.lexsort((items, known[(items & U(COUNTERS - 1)).view(np.int64)], row))
+            first = order[np.arange(len(items)) - o[:-1][row] <= (n - _need(n, percent))[row]]
+            at = pa.array(row[first] + i)
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(at), batch.column("cluster").take(at), pa.array(items[first].view(np.int64))], names=["node", "cluster", "item"])
 
 
 class _Block:
-    """Nodes with their sets, and the components found so far."""
+    """Nodes with their sets, items numbered by the block's own counts, rare ones first, and the components found so far."""
 
-    def __init__(self, node: np.ndarray, bands: list[bytes], items: list[bytes], percent: int) -> None:
+    def __init__(self, node: np.ndarray, items: list[bytes], percent: int) -> None:
         self.node, self.percent = node, percent
-        self.bands = np.array([np.frombuffer(b, U) for b in bands])
-        self.items = [np.frombuffer(x, U) for x in items]
-        self.up = list(range(len(node)))
-        self.tested: set[tuple[int, int]] = set()
+        every = np.frombuffer(b"".join(items), U)
+        self.size = np.array([len(x) // 8 for x in items], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        _, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
+        rank = np.empty(len(count), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+        self.count = np.sort(count)
+        item, row = rank[inverse], np.repeat(np.arange(len(node)), self.size)
+        self.item = item[np.lexsort((item, row))]
+        self.need = _need(self.size, percent)
+        self.label = np.arange(len(node))
         seen: dict[int, int] = {}
         for i, x in enumerate(node.tolist()):  # rows that share an id
-            self.up[i] = seen.setdefault(x, i)
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def try_link(self, i: int, j: int) -> bool:
-        pair = (min(i, j), max(i, j))
-        if pair in self.tested:
-            return False
-        self.tested.add(pair)
-        a, b = self.items[i], self.items[j]
-        if 100 * min(len(a), len(b)) < self.percent * max(len(a), len(b)):
-            return False
-        if len(a) > len(b):
-            a, b = b, a
-        k = np.searchsorted(b, a)
-        k[k == len(b)] = 0
-        both = int((b[k] == a).sum())
-        if 100 * both < self.percent * (len(a) + len(b) - both):
-            return False
-        x, y = sorted((self.root(i), self.root(j)), key=lambda r: self.node[r])
-        self.up[y] = x
-        return True
-
-    def groups(self) -> Iterator[np.ndarray]:
-        for c in range(self.bands.shape[1] if len(self.node) else 0):
-            o = np.argsort(self.bands[:, c], kind="stable")
-            h = self.bands[o, c]
-            k = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            for s, e in zip(k, np.append(k[1:], len(o))):
-                if e - s > 1:
-                    yield o[s:e]
+            self.label[i] = seen.setdefault(x, i)
+        self.tested: dict[int, np.ndarray] = {}
+        self.mark = np.zeros(len(count), bool)
+
+    def join(self, i: int, j: int) -> None:
+        x, y = sorted((self.label[i], self.label[j]), key=lambda r: self.node[r])
+        self.label[self.label == y] = x
+
+    def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Nodes that share an item of their prefixes, and the item's place in each; of items with the same nodes, the first."""
+        row = np.repeat(np.arange(len(self.node)), self.size)
+        place = np.arange(len(self.item)) - self.first[row]
+        keep = np.flatnonzero((place <= (self.size - self.need)[row]) & (self.count[self.item] > 1))
+        o = keep[np.argsort(self.item[keep], kind="stable")]
+        if not len(o):
+            return
+        x, row, place = self.item[o], row[o], place[o]
+        k = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        end = np.append(k[1:], len(o))
+        k, end, code = k[end - k > 1], end[end - k > 1], np.add.reduceat(T.mix(row.astype(U) + U(0x9E3779B97F4A7C15)), k)[end - k > 1]
+        for g in np.sort(np.unique(code, return_index=True)[1]):
+            yield row[k[g] : end[g]], place[k[g] : end[g]]
+
+    def alike(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others are linked with node i, on full sets."""
+        mine = self.item[self.first[i] : self.first[i + 1]]
+        self.mark[mine] = True
+        out = np.zeros(len(others), bool)
+        step = max(1, (1 << 22) // max(1, int(self.size[others].max(initial=1))))
+        for a in range(0, len(others), step):
+            j = others[a : a + step]
+            n = self.size[j]
+            start = np.cumsum(n) - n
+            hit = self.mark[self.item[np.repeat(self.first[j] - start, n) + np.arange(int(n.sum()))]]
+            both = np.add.reduceat(hit, start, dtype=np.int64)
+            out[a : a + step] = 100 * both >= self.percent * (n + len(mine) - both)
+        self.mark[mine] = False
+        return out
+
+    def compare(self, i: int, at: int, others: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The nodes among others, of other components, that are linked with i; at and places: where the item they share stands."""
+        go = self.label[others] != self.label[i]
+        others, places = others[go], places[go]
+        n, m = self.size[i], self.size[others]
+        most = np.minimum(n - at, m - places)  # items in common, if none stands before this one
+        go = (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)) & (100 * most >= self.percent * (n + m - most))
+        others = others[go]
+        if i in self.tested:
+            others = others[~np.isin(others, self.tested[i])]
+        if not len(others):
+            return others
+        yes = self.alike(i, others)
+        if not yes.all():
+            self.tested[i] = np.union1d(self.tested.get(i, np.zeros(0, np.int64)), others[~yes])
+        return others[yes]
 
 
 def settle_block(key, table: pa.Table, percent: int) -> pa.Table:
@@ -125,44 +189,54 @@ def settle_block(key, table: pa.Table, percent: int) -> pa.Table:
     node = table.column("node").to_numpy()
     o = np.argsort(node, kind="stable")
     table = table.take(pa.array(o))
-    block = _Block(node[o], table.column("bands").to_pylist(), table.column("items").to_pylist(), percent)
-    for group in block.groups():
-        members = group.tolist()
-        roots = [block.root(i) for i in members]
-        if len(set(roots)) == 1:
-            continue
-        for i in members[1:]:
-            if block.root(i) != block.root(members[0]):
-                block.try_link(members[0], i)
-        main = block.root(members[0])
-        for i in [i for i in members if block.root(i) != main]:
-            for j in members:
-                if block.root(i) != block.root(j):
-                    block.try_link(i, j)
-    root = np.array([block.root(i) for i in range(len(block.node))], np.int64)
-    return pa.table({"a": pa.array(block.node), "b": pa.array(block.node[root])})
+    block = _Block(node[o], table.column("items").to_pylist(), percent)
+    for members, places in block.groups():
+        for k in range(len(members) - 1):
+            label = block.label[members[k:]]
+            if (label == label[0]).all():
+                break
+            for j in block.compare(members[k], places[k], members[k + 1 :], places[k + 1 :]).tolist():
+                block.join(members[k], j)
+    return pa.table({"a": pa.array(block.node), "b": pa.array(block.node[block.label])})
 
 
 def cross_blocks(key, left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
-    """Links between some nodes of a cluster (left) and a block (right), where they share a band and not yet a component."""
+    """Links between some nodes of a cluster (left) and a block (right), where they share a prefix item and not yet a component."""
     links = []
     if left.num_rows and right.num_rows:
         n = left.num_rows
         both = pa.concat_tables([left.select(right.column_names), right])
         label = both.column("label").to_numpy()
-        block = _Block(both.column("node").to_numpy(), both.column("bands").to_pylist(), both.column("items").to_pylist(), percent)
+        block = _Block(both.column("node").to_numpy(), both.column("items").to_pylist(), percent)
         first: dict[int, int] = {}
         for i, x in enumerate(label.tolist()):
-            block.up[block.root(i)] = block.root(first.setdefault(x, i))
-        for group in block.groups():
-            for i in group[group < n].tolist():
-                for j in group.tolist():
-                    if block.root(i) != block.root(j) and block.try_link(i, j):
-                        links.append((int(block.node[i]), int(block.node[j])))
+            if block.label[i] != block.label[first.setdefault(x, i)]:
+                block.join(i, first[x])
+        for members, places in block.groups():
+            for k in np.flatnonzero(members < n).tolist():
+                for j in block.compare(members[k], places[k], members, places).tolist():
+                    if block.label[j] != block.label[members[k]]:
+                        block.join(members[k], j)
+                        links.append((int(block.node[members[k]]), int(block.node[j])))
     a, b = zip(*links) if links else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _met(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Each node linked with the least node that has the same keys."""
+    least = rows.groupBy(*keys).agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    return rows.join(least, keys).filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def finer_clusters(sets: DataFrame, percent: int) -> DataFrame:
+    """node and label: the clusters of sets by the rare items they share. Nodes without such an item are linked with none and go."""
+    counted = sets.mapInArrow(T.shipped(__name__, "count_batches"), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
+    first = _shared.written(sets.mapInArrow(T.shipped(__name__, "prefix_batches", counts.tobytes(), percent), "node long, cluster long, item long"), "prefixes")
+    return components(_met(first, ["cluster", "item"]))
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the least document of each component) for every document.
 
@@ -173,21 +247,25 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     known = signed.filter("doc_id is not null and n_shingles > 0")
     nodes = known.groupBy("code").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     nodes = _shared.written(nodes, "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    met = banded.join(shared, "band").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    cluster = components(met)
+    cluster = components(_met(nodes.select("node", F.explode("bands").alias("band")), ["band"]))
     sizes = nodes.groupBy("node").agg(F.sum("n").alias("n"))
     cluster = _shared.written(cluster.join(sizes, "node").select("node", F.col("label").alias("cluster"), "n"), "clusters")
-    total = cluster.groupBy("cluster").agg(F.ceil(F.sum("n") * 8 / block_bytes).cast("int").alias("blocks"))
-    several = total.filter("blocks > 1")
+    blocks = lambda size: F.ceil(F.sum(size) / block_bytes).cast("int").alias("blocks")
+    several = cluster.groupBy("cluster").agg(blocks(F.col("n") * 8)).filter("blocks > 1").select("cluster", F.lit(True).alias("large"))
     cut = not several.isEmpty()
     texts = docs.join(cluster.select(F.col("node").alias("doc_id"), "cluster").hint("shuffle_hash"), "doc_id").select(F.col("doc_id").alias("node"), "cluster", "text")
-    sets = texts.mapInArrow(T.shipped(__name__, "set_batches", width, bands, rows), SETS)
+    sets = texts.mapInArrow(T.shipped(__name__, "set_batches", width), SETS)
     if cut:
-        sets = _shared.written(sets, "sets").join(total, "cluster")
+        sets = _shared.written(sets.join(several, "cluster", "left").select("node", "cluster", "items", "large"), "sets")
+        finer = finer_clusters(sets.filter("large"), percent)
+        sets = sets.join(finer, "node", "left").withColumn("cluster", F.when(F.col("large"), F.col("label")).otherwise(F.col("cluster"))).filter("cluster is not null").select("node", "cluster", "items")
+        sets = _shared.written(sets, "finer")
+        total = _shared.written(sets.groupBy("cluster").agg(blocks(F.length("items"))), "blocks")
+        several = total.filter("blocks > 1")
+        sets = sets.join(total, "cluster")
         own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         sets = sets.withColumn("block", F.explode(F.when(F.col("node") == F.col("cluster"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
+        cut = not several.isEmpty()
     else:
         sets = sets.withColumn("block", F.lit(0))
     ship = lambda f: T.shipped(__name__, f, percent)
@@ -200,12 +278,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         home = so_far.select(F.col("node").alias("cluster"), F.col("label").alias("home"))
         rest = at.join(home, "cluster", "left").filter(F.col("label") != F.coalesce("home", "cluster")).drop("home")
         own_block = F.col("block")
-        rest = rest.select("node", "cluster", "bands", "items", "label", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != own_block)).alias("block"))
+        rest = rest.select("node", "cluster", "items", "label", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != own_block)).alias("block"))
         left_bytes = rest.groupBy("cluster", "block").agg(F.ceil(F.sum(F.length("items")) / block_bytes).cast("int").alias("pieces"))
         rest = rest.join(left_bytes, ["cluster", "block"]).withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
-        against = at.select("node", "cluster", "bands", "items", "label", "block").join(left_bytes, ["cluster", "block"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        against = at.select("node", "cluster", "items", "label", "block").join(left_bytes, ["cluster", "block"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
         keys = ["cluster", "block", "piece"]
-        columns = [*keys, "node", "label", "bands", "items"]
+        columns = [*keys, "node", "label", "items"]
         rest = _shared.written(rest.select(columns), "rest")
         crossed = rest.groupBy(*keys).cogroup(against.select(columns).groupBy(*keys)).applyInArrow(_keyed2(ship("cross_blocks")), "a long, b long")
         label = components(links.unionByName(_shared.written(crossed, "crossed")))

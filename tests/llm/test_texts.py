@@ -137,6 +137,36 @@ def test_near(docs, data, width, percent, block):
     assert all(r.n_shingles == n[r.doc_id] for r in got)
 
 
+def boilerplate(n, own=20, common=80):
+    """Texts that share a long passage and are alike at (common / (common + 2 own)) or so."""
+    rng = np.random.default_rng(5)
+    shared = " ".join(f"c{k}" for k in range(common + 2))
+    return [(i, shared + " " + " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, own)), "", "", 1) for i in range(n)]
+
+
+@pytest.mark.parametrize("block", [16 << 20, 1 << 20])
+def test_near_on_boilerplate_that_links_nothing(spark, block):
+    data = boilerplate(10_000)
+    data[77] = (77, data[5][1] + " x", "", "", 1)
+    began = time.monotonic()
+    got = near.near_duplicates(H.documents(spark, data).repartition(4), width=3, percent=85, block_bytes=block).filter("not kept").collect()
+    assert [(r.doc_id, r.component_id) for r in got] == [(77, 5)]
+    assert time.monotonic() - began < 60
+
+
+@pytest.mark.parametrize("block", [16 << 20, 30_000])
+def test_near_links_of_a_large_cluster(spark, block):
+    rng = np.random.default_rng(6)
+    data = boilerplate(60, own=8, common=92)
+    for i in range(60, 240):
+        w = data[int(rng.integers(0, i))][1].split(" ")
+        for k in rng.integers(0, len(w), int(rng.integers(1, 4))):
+            w[k] = f"n{rng.integers(0, 9)}"
+        data.append((i, " ".join(w), "", "", 1))
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(H.documents(spark, data), width=3, percent=80, block_bytes=block).collect()}
+    assert got == H.brute_near(data, 3, 80)
+
+
 def test_super_minhash_is_unbiased_and_sharper():
     rng = np.random.default_rng(0)
     m, gaps, plain = 64, [], []
