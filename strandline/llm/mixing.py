@@ -1,27 +1,29 @@
 """Mixing sources to target weights, by packed blocks and index permutations.
 
-The words of each source are packed into blocks of BLOCK words, in an order of
-the documents that a two-level prefix sum gives (sums of BUCKETS hash buckets
-first, then within a bucket), so that no task sees a whole source. Output shards
-of SHARD slots draw how many of their slots each source gets: the whole part of
-its expected count, and a multinomial draw of what is left. The j-th draw of a
-source is its block p(j mod n) for a pseudorandom permutation p of its n blocks
-(swap-or-not rounds), so blocks repeat evenly. Slots and blocks meet by index.
-
-Since p is a permutation, how often a block is drawn follows from its own index,
-so the words taken of each document need no slot table and no shuffle of slots;
-emit() joins the slots themselves.
+The words of each source are packed into blocks of one length, BLOCK words at most
+and shorter in a source of few words, in an order of the documents that a two-level
+prefix sum gives (sums of hash buckets first, then within a bucket), so that no task
+sees a whole source. The mix is a row of slots, SHARD to an output shard. Each
+source has as many slots as its target asks for, and a pseudorandom permutation of
+all slots says which are whose: so the counts of sources in a shard are a multinomial
+draw given the totals of the whole mix. (Free draws would miss the targets by one
+over the root of the number of slots.) The j-th slot of a source is its block
+p(j mod n), for a pseudorandom permutation p of its n blocks, so blocks repeat
+evenly. Permutations are swap-or-not rounds on indices. Slots and blocks meet in a
+join by source and index.
 
 Targets: sources by code point, null last, weigh WEIGHTS in turn and share all
 words; a source stops at MOST times its words and the excess is reshared.
 
-All of it is DataFrame expressions over (id, source, size); texts are read once.
-Random numbers are integer hashes of indices: reruns agree.
+All of it is DataFrame expressions. What is windowed as a whole is one row a source
+and one row a source and bucket. Random numbers are integer hashes of indices:
+reruns agree.
 
 Defined results: a null or empty text has no words, takes part with size 0, and
 0 words are taken; a null source is a source of its own, the last; rows with a
 null id are packed as any other; repeated rows are packed one after another. An
-empty table gives an empty result.
+empty table gives an empty result. A text of any length is cut into as many pieces
+as it has blocks.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from . import _shared
 
 WEIGHTS, MOST = (1, 2, 3), 3
-BLOCK, SHARD, BUCKETS, ROUNDS = 16, 4096, 1024, 6
+BLOCK, LEAST_BLOCKS, SHARD, ROUNDS = 64, 512, 1024, 12
+BUCKET_ROWS, MOST_BUCKETS = 1 << 16, 1 << 16
 PRIME = 2147483647
 WORD = r"[^\x20\x09-\x0D]++"
 
@@ -42,34 +45,29 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.length(marks), F.lit(0)).cast("long")
 
 
-def _hash(x: Column, salt: int) -> Column:
-    """A value below PRIME."""
-    first = (x % PRIME * 48271 + salt * 7919 + 11) % PRIME
-    return ((first + F.floor(first / 1024) + 1) % PRIME) * 69621 % PRIME
+def _hashed(x: Column) -> Column:
+    """A hash below 2**32 of an integer from 0 below 2**62, by shifts, sums and multiplications that fit a long."""
+    low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
+    step = lambda h, k: low(h.bitwiseXOR(F.shiftright(h, 16)) * k)
+    first = low(x) + F.shiftright(x, 32) * 73244475
+    return F.aggregate(F.array(*(F.lit(k) for k in (73244475, 0x2C1B3C6D, 73244475))), low(first), step, lambda h: h.bitwiseXOR(F.shiftright(h, 16)))
 
 
-def _permuted(x: Column, n: Column, source: Column, rounds: list[int]) -> Column:
-    """Swap-or-not: an index below n to another; the same rounds in reverse undo it."""
+def _permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
+    """Index x below n to another, one to one, by swap-or-not rounds. key: which permutation, below 2**20.
 
-    def step(acc: Column, r: Column) -> Column:
-        key = ((source * 40503 + r * 9176 + 77) % PRIME * 48271 % PRIME) % n
-        other = (key + n - acc) % n
-        high = F.greatest(acc, other)
-        first = (high % PRIME * 48271 + (source * 31 + r) * 7919 + 11) % PRIME
-        bit = F.floor((first + F.floor(first / 1024) + 1) % PRIME * 69621 % PRIME / 512).cast("long") % 2
-        return F.when(bit == 1, other).otherwise(acc)
-
-    return F.aggregate(F.array(*(F.lit(r).cast("long") for r in rounds)), x, step)
+    One higher-order function: as columns of their own, rounds make the optimizer's constraints grow without end.
+    """
 
+    def step(acc: Column, r: Column) -> Column:
+        other = ((_hashed(key * 4096 + r * 2) * (1 << 30) + _hashed(key * 4096 + r * 2 + 1)) % n + n - acc) % n
+        return F.transform(F.array(other), lambda y: F.when(_hashed(_hashed(F.greatest(acc, y)) * 4096 + key * 64 + r) % 2 == 1, y).otherwise(acc))[0]
 
-def sized(documents: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    spread = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(PRIME))
-    return rows.withColumn("bucket", (spread * 48271 % PRIME % BUCKETS).cast("int"))
+    return F.aggregate(F.array(*(F.lit(r).cast("long") for r in range(rounds))), x.cast("long"), step)
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Each source with number, source_size, target, n blocks, and the blocks wanted. One row a source."""
+def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """Each source with number, source_size, target, words to a block, n blocks, and slots. One row a source."""
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     everything = Window.partitionBy(F.lit(0))
     s = s.withColumn("number", F.row_number().over(everything.orderBy(F.col("source").isNull(), "source")).cast("long"))
@@ -82,94 +80,101 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     free = F.col("most") >= F.col("level") * F.col("weight")
     s = s.withColumn("level", F.min_by(F.when(free, F.col("level")), F.when(free, F.col("place"))).over(everything))
     s = s.withColumn("target", F.least(F.col("most").cast("double"), F.col("level") * F.col("weight")))
-    s = s.withColumn("n", F.ceil(F.col("source_size") / BLOCK).cast("long"))
-    s = s.withColumn("want", F.when(F.col("source_size") > 0, F.col("target") * F.col("n") / F.col("source_size")).otherwise(0.0))
-    return s.select("source", "number", "source_size", "target", "n", "want")
+    s = s.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("source_size") / LEAST_BLOCKS))).cast("long"))
+    s = s.withColumn("n", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
+    s = s.withColumn("slots", F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n") / F.col("source_size"))).otherwise(0).cast("long"))
+    return s.select("source", "number", "source_size", "target", "block", "n", "slots")
+
 
+def slots(sources: DataFrame, shard: int = SHARD) -> DataFrame:
+    """All slots of the mix: number of the source, shard, slot, and block.
 
-def draws(sources: DataFrame, shard: int = SHARD, most: int = MOST) -> DataFrame:
-    """Per shard and source, how many slots it gets and how many earlier shards gave it. Sources times shards rows."""
+    Sources' slots are numbered one after another; the permutation of all numbers gives each its slot.
+    """
     everything = Window.partitionBy(F.lit(0))
-    s = sources.withColumn("all", F.sum("want").over(everything)).withColumn("slots", F.round(F.sum("want").over(everything)).cast("long"))
-    s = s.filter("n > 0").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.ceil(F.col("slots") / shard) - 1).cast("long"))))
-    s = s.withColumn("width", F.least(F.lit(shard), F.col("slots") - F.col("shard") * shard))
-    s = s.withColumn("mean", F.col("width") * F.col("want") / F.col("all"))
-    one = Window.partitionBy("shard")
-    part = F.col("mean") - F.floor("mean")
-    s = s.withColumn("spare", F.col("width") - F.sum(F.floor("mean")).over(one)).withColumn("high", F.sum(part).over(one.orderBy("number").rowsBetween(Window.unboundedPreceding, 0))).withColumn("low", F.col("high") - part)
-    whole = F.sum(part).over(one)
-    s = s.withColumn("whole", whole).withColumn("last", F.col("number") == F.max("number").over(one))
-    at = lambda j: _hash(F.col("shard") * 1009 + j, 5) / float(PRIME) * F.col("whole")
-    hits = F.size(F.filter(F.when(F.col("spare") > 0, F.sequence(F.lit(1).cast("long"), F.col("spare"))).otherwise(F.array().cast("array<long>")), lambda j: (at(j) >= F.col("low")) & ((at(j) < F.col("high")) | F.col("last"))))
-    s = s.withColumn("count", (F.floor("mean") + hits).cast("long"))
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = s.withColumn("first", before)
-    limit = F.col("n") * most  # a source that stops at its limit isn't drawn past it
-    return s.select("source", "number", "shard", "n", F.least("first", limit).alias("first"), (F.least(F.col("first") + F.col("count"), limit) - F.least("first", limit)).alias("count"))
-
-
-def packed(sizes: DataFrame) -> DataFrame:
-    """Each document with the offset of its first word in its source's packed words."""
-    sums = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("of"), F.col("bucket").alias("b"), F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sizes.withColumn("start", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return rows.join(sums, rows["source"].eqNullSafe(sums["of"]) & (rows["bucket"] == sums["b"])).select("doc_id", "source", "size", (F.col("start") + F.col("ahead")).alias("start"))
-
-
-def _repeats(b: Column) -> Column:
-    """How often block b of a source with number, n and drawn is drawn."""
-    place = _permuted(b, F.col("n"), F.col("number"), list(range(ROUNDS)))
-    return F.floor(F.col("drawn") / F.col("n")) + (place < F.col("drawn") % F.col("n")).cast("long")
-
-
-def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target and taken of every document."""
-    return _taken(documents, id_col, source_col, text_col, weights, most).drop("source")
-
-
-def _taken(documents: DataFrame, id_col: str, source_col: str, text_col: str, weights: tuple[int, ...], most: int) -> DataFrame:
-    sizes = _shared.written(sized(documents, id_col, source_col, text_col), "sizes")
-    sources = targets(sizes, weights, most)
-    drawn = draws(sources, most=most).groupBy("number").agg(F.sum("count").alias("drawn"))
-    plan = sources.join(drawn, "number", "left").select(F.col("source").alias("of"), "number", "source_size", "target", "n", F.coalesce("drawn", F.lit(0)).alias("drawn"))
-    rows = packed(sizes)
-    rows = rows.join(plan, rows["source"].eqNullSafe(plan["of"])).drop("of")
+    ahead = everything.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    s = sources.filter("slots > 0").withColumn("ahead", F.coalesce(F.sum("slots").over(ahead), F.lit(0))).withColumn("all", F.sum("slots").over(everything))
+    step = 1 << 14  # slots of a source are made in stretches, so that one source's are spread over tasks
+    s = s.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(step).cast("long")))).repartition("number", "from")
+    s = s.withColumn("j", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + step, F.col("slots")) - 1)))
+    s = s.withColumn("place", _permuted(F.col("ahead") + F.col("j"), F.col("all"), F.lit(0).cast("long")))
+    s = s.withColumn("drawn", _permuted(F.col("j") % F.col("n"), F.col("n"), F.col("number")))
+    return s.select("number", F.floor(F.col("place") / shard).cast("long").alias("shard"), (F.col("place") % shard).cast("int").alias("slot"), F.col("drawn").alias("block"))
+
+
+def sized(documents: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """doc_id, source, size, and text_key, by which rows without an id are spread."""
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("text_key"))
+
+
+def packed(sizes: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
+    """Each row of sizes with its source's columns and start, the offset of its first word among its source's. rows: about how many."""
+    buckets = max(1, min(MOST_BUCKETS, rows // BUCKET_ROWS))
+    spread = F.pmod(F.coalesce("doc_id", "text_key"), F.lit(PRIME))
+    at = sizes.withColumn("bucket", (spread * 48271 % PRIME % buckets).cast("int"))
+    at = at.join(sources.withColumnRenamed("source", "__of"), F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
+    sums = at.groupBy("number", "bucket").agg(F.sum("size").alias("held"))
+    ahead = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("number", "bucket", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("number", "bucket").orderBy("doc_id", "text_key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    at = at.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return at.join(sums, ["number", "bucket"]).withColumn("start", F.col("ahead") + F.col("inside")).drop("ahead", "inside", "bucket", "text_key")
+
+
+def pieces(rows: DataFrame) -> DataFrame:
+    """Each row of packed, once for each block it has words in: at (the block), from and to, in words of the document."""
     end = F.col("start") + F.col("size")
-    overlap = lambda b: F.least(end, (b + 1) * BLOCK) - F.greatest(F.col("start"), b * BLOCK)
-    blocks = F.sequence(F.floor(F.col("start") / BLOCK), F.floor((end - 1) / BLOCK))
-    taken = F.when(F.col("size") > 0, F.aggregate(blocks, F.lit(0).cast("long"), lambda acc, b: acc + overlap(b) * _repeats(b))).otherwise(0)
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    cut = rows.filter("size > 0").withColumn("at", F.explode(F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((end - 1) / F.col("block")))))
+    return cut.withColumn("from", F.greatest(F.col("start"), F.col("at") * F.col("block")) - F.col("start")).withColumn("to", F.least(end, (F.col("at") + 1) * F.col("block")) - F.col("start"))
 
 
-def emit(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """doc_id, size, source_size, target and taken (its words in all slots) of every document."""
+    sizes = _shared.written(sized(documents, id_col, source_col, text_col), "sizes")
+    sources = _shared.written(targets(sizes, weights, most, block), "sources")
+    rows = _shared.written(packed(sizes, sources, sizes.count()), "packed")
+    times = slots(sources).groupBy("number", F.col("block").alias("at")).agg(F.count("*").alias("times"))
+    held = pieces(rows).select("number", "at", "start", (F.col("to") - F.col("from")).alias("words"))
+    taken = held.join(times, ["number", "at"]).groupBy("number", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    some, none = rows.filter("size > 0").join(taken, ["number", "start"], "left"), rows.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    return some.unionByName(none, allowMissingColumns=True).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+
+
+def emit(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """The slots of the mix: shard, slot, source, block, and the piece of a document that lies in the block (doc_id, from, to in words).
 
     A block over several documents gives several rows a slot.
     """
     sizes = _shared.written(sized(documents, id_col, source_col, text_col), "sizes")
-    cells = draws(targets(sizes, weights, most), most=most).filter("count > 0")
-    slots = cells.withColumn("draw", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)))
-    slots = slots.withColumn("block", _permuted(F.col("draw") % F.col("n"), F.col("n"), F.col("number"), list(range(ROUNDS))[::-1]))
-    slots = slots.select("shard", "number", F.col("source").alias("of"), "draw", "block", F.row_number().over(Window.partitionBy("shard").orderBy(_hash(F.col("draw") * 64 + F.col("number"), 9), "number", "draw")).alias("slot"))
-    rows = packed(sizes).filter("size > 0")
-    end = F.col("start") + F.col("size")
-    pieces = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / BLOCK), F.floor((end - 1) / BLOCK))))
-    pieces = pieces.select("doc_id", "source", "block", (F.greatest(F.col("start"), F.col("block") * BLOCK) - F.col("start")).alias("from"), (F.least(end, (F.col("block") + 1) * BLOCK) - F.col("start")).alias("to"))
-    return slots.join(pieces, slots["of"].eqNullSafe(pieces["source"]) & (slots["block"] == pieces["block"])).select("shard", "slot", "source", slots["block"], "doc_id", "from", "to")
+    sources = _shared.written(targets(sizes, weights, most, block), "sources")
+    held = pieces(packed(sizes, sources, sizes.count())).select("number", "source", F.col("at").alias("block"), "doc_id", "from", "to")
+    return slots(sources).join(held, ["number", "block"]).select("shard", "slot", "source", "block", "doc_id", "from", "to")
 
 
-def remix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """documents in the mix: each row as often as its words are taken on average, rounded at random by its id, or by its text without one.
+def remix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", count_col: str | None = "n_chars", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = 512) -> DataFrame:
+    """The texts of the mix: for every slot, each piece of a document in its block, as a row of documents.
 
-    Rows of one id and source, and those of a source without an id, have their
-    average in common. Rows of which no words are taken, and those without words, go.
+    The text is the piece's words and what stands between them; count_col, if there
+    is such a column, is its number of characters; other columns are the document's.
+    Documents of which no words are taken, and those without words, go.
     """
-    taken = _taken(documents, id_col, source_col, text_col, weights, most).filter("size > 0")
-    share = taken.groupBy(F.col("doc_id").alias("__of"), F.col("source").alias("__from")).agg((F.sum("taken") / F.sum("size")).alias("__share")).hint("shuffle_hash")
-    u = _hash(F.pmod(F.coalesce("__doc", F.xxhash64(F.col(text_col))), F.lit(PRIME)), 3) / float(PRIME)
-    rows = documents.filter(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).withColumn("__doc", F.col(id_col).cast("long")).withColumn("__source", F.col(source_col).cast("string"))
-    rows = rows.join(share, F.col("__doc").eqNullSafe(F.col("__of")) & F.col("__source").eqNullSafe(F.col("__from")))
-    copies = F.floor(F.col("__share") + u).cast("int")
-    return rows.withColumn("__copies", copies).filter("__copies > 0").withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*documents.columns)
+    row = F.struct(*documents.columns)
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("text_key"), row.alias("row"))
+    bare = rows.drop("row")
+    sizes = _shared.written(bare.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "sizes")
+    sources = _shared.written(targets(sizes, weights, most, block), "sources")
+    held = packed(rows, sources, sizes.agg(F.sum("rows")).first()[0] or 0).filter("size > 0")
+    # a word with the white space after it; what stands before the first word goes with that
+    words = F.regexp_extract_all(F.col("row")[text_col], F.lit(r"(?:^[\x20\x09-\x0D]++)?[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"), F.lit(0))
+    first, last = F.floor(F.col("start") / F.col("block")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block"))
+    low = lambda b: F.greatest(F.col("start"), b * F.col("block")) - F.col("start")
+    high = lambda b: F.least(F.col("start") + F.col("size"), (b + 1) * F.col("block")) - F.col("start")
+    whole = F.array(F.struct(first.alias("at"), F.col("row")[text_col].alias("text")))
+    cut = F.transform(F.array(words), lambda w: F.transform(F.sequence(first, last), lambda b: F.struct(b.alias("at"), F.array_join(F.slice(w, (low(b) + 1).cast("int"), (high(b) - low(b)).cast("int")), "").alias("text"))))[0]
+    held = held.withColumn("piece", F.explode(F.when(first == last, whole).otherwise(cut)))
+    plain = [c for c in documents.columns if c not in (text_col, count_col)]
+    text = F.col("piece")["text"]
+    held = held.select("number", F.col("piece")["at"].alias("block"), F.struct(*(F.col("row")[c].alias(c) for c in plain)).alias("row"), text.alias("text"))
+    taken = slots(sources).join(held, ["number", "block"])
+    of = {text_col: F.col("text"), count_col: F.length("text").cast(dict(documents.dtypes).get(count_col, "long"))}
+    return taken.select(*(of[c].alias(c) if c in of else F.col("row")[c].alias(c) for c in documents.columns))

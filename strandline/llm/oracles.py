@@ -77,48 +77,48 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(r) AS c FROM reach GR
 """
 
 
-def _hash(x: str, salt: str) -> str:
-    first = f"((({x}) % 2147483647 * 48271 + ({salt}) * 7919 + 11) % 2147483647)"
-    return f"(({first} + {first} // 1024 + 1) % 2147483647 * 69621 % 2147483647)"
+def _let(x: str, use: str) -> str:
+    return f"list_transform([{x}], lambda h: {use})[1]"
 
 
-def _rounds() -> str:
-    out, x, table = [], "b", "b"
-    for r in range(6):
-        other = f"((((number * 40503 + {r * 9176 + 77}) % 2147483647 * 48271 % 2147483647) % n + n - {x}) % n)"
-        out.append(f"o{r} AS MATERIALIZED (SELECT *, {other} AS y{r}, greatest({x}, {other}) AS h{r} FROM {table})")
-        out.append(f"x{r} AS MATERIALIZED (SELECT *, CASE WHEN {_hash(f'h{r}', f'number * 31 + {r}')} // 512 % 2 = 1 THEN y{r} ELSE {x} END AS x{r} FROM o{r})")
-        x, table = f"x{r}", f"x{r}"
-    return ",\n".join(out)
+def _hashed(x: str) -> str:
+    x = _let(f"CAST({x} AS BIGINT)", "((h & 4294967295) + (h >> 32) * 73244475) & 4294967295")
+    for k in (73244475, 739982445, 73244475):
+        x = _let(x, f"(xor(h, h >> 16) * {k}) & 4294967295")
+    return _let(x, "xor(h, h >> 16)")
+
+
+def _permuted(table: str, name: str, x: str, n: str, key: str, rounds: int = 12) -> str:
+    """Tables of swap-or-not rounds from table to name, which adds a column name."""
+    out, at = [f"{name}0 AS MATERIALIZED (SELECT *, CAST({x} AS BIGINT) AS {name} FROM {table})"], f"{name}0"
+    for r in range(rounds):
+        shift = f"({_hashed(f'{key} * 4096 + {2 * r}')} * 1073741824 + {_hashed(f'{key} * 4096 + {2 * r + 1}')}) % {n}"
+        out.append(f"{name}{r}y AS MATERIALIZED (SELECT *, ({shift} + {n} - {name}) % {n} AS y FROM {at})")
+        bit = _hashed(f"{_hashed(f'greatest({name}, y)')} * 4096 + {key} * 64 + {r}")
+        at = f"{name}{r}z"
+        out.append(f"{at} AS MATERIALIZED (SELECT * EXCLUDE (y, {name}), CASE WHEN {bit} % 2 = 1 THEN y ELSE {name} END AS {name} FROM {name}{r}y)")
+    return ",\n".join([*out, f"{name} AS (SELECT * FROM {at})"])
 
 
 OP3 = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-        doc_id % 2147483647 * 48271 % 2147483647 % 1024 AS bucket FROM documents),
+        doc_id % 2147483647 * 48271 % 2147483647 % greatest(1, least(65536, (SELECT count(*) FROM documents) // 65536)) AS bucket FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS number FROM d GROUP BY source),
 s1 AS (SELECT *, (number - 1) % 3 + 1 AS weight, source_size * 3 AS most, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s0),
 s2 AS (SELECT *, (total - coalesce(CAST(sum(most) OVER w AS BIGINT), 0))::DOUBLE / CAST((CAST(sum(weight) OVER () AS BIGINT) - coalesce(CAST(sum(weight) OVER w AS BIGINT), 0)) AS DOUBLE) AS lv
        FROM s1 WINDOW w AS (ORDER BY most::DOUBLE / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 s3 AS (SELECT *, arg_min(lv, most::DOUBLE / weight) FILTER (most >= lv * weight) OVER () AS level FROM s2),
-s4 AS (SELECT *, least(most::DOUBLE, level * weight) AS target, CAST(ceil(source_size / 16.0) AS BIGINT) AS n FROM s3),
-s AS (SELECT *, CASE WHEN source_size > 0 THEN target * n / source_size ELSE 0.0 END AS want FROM s4),
-c0 AS (SELECT *, sum(want) OVER (ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS wall FROM s),
-c1 AS (SELECT *, CAST(round(wall) AS BIGINT) AS slots FROM c0 WHERE n > 0),
-c2 AS (SELECT *, unnest(range(0, greatest(1, CAST(ceil(slots / 4096.0) AS BIGINT)))) AS shard FROM c1),
-c3 AS (SELECT *, least(4096, slots - shard * 4096) * want / wall AS mean, least(4096, slots - shard * 4096) AS width FROM c2),
-c4 AS (SELECT *, mean - floor(mean) AS part, CAST(width - sum(floor(mean)) OVER (PARTITION BY shard) AS BIGINT) AS spare FROM c3),
-c5 AS (SELECT *, sum(part) OVER (PARTITION BY shard ORDER BY number ROWS UNBOUNDED PRECEDING) AS high, sum(part) OVER (PARTITION BY shard ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS whole,
-        number = max(number) OVER (PARTITION BY shard) AS last FROM c4),
-u AS (SELECT shard, {_hash("shard * 1009 + j", "5")} / 2147483647.0::DOUBLE AS f FROM (SELECT DISTINCT shard, spare, unnest(range(1, spare + 1)) AS j FROM c5)),
-c6 AS (SELECT c5.number, c5.shard, any_value(n) AS n, any_value(CAST(floor(mean) AS BIGINT)) + count(f) FILTER (f * whole >= high - part AND (f * whole < high OR last)) AS cnt
-       FROM c5 LEFT JOIN u USING (shard) GROUP BY c5.number, c5.shard),
-g AS (SELECT number, least(CAST(sum(cnt) AS BIGINT), 3 * any_value(n)) AS drawn FROM c6 GROUP BY number),
-p AS (SELECT doc_id, source, size, coalesce(CAST(sum(size) OVER (PARTITION BY source ORDER BY bucket, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS start FROM d),
-q AS (SELECT p.doc_id, p.size, p.start, s.number, s.source_size, s.target, s.n, coalesce(g.drawn, 0) AS drawn FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source LEFT JOIN g USING (number)),
-b AS (SELECT *, unnest(range(start // 16, (start + size - 1) // 16 + 1)) AS b FROM q WHERE size > 0),
-{_rounds()},
-t AS (SELECT doc_id, start, CAST(sum((least(start + size, (b + 1) * 16) - greatest(start, b * 16)) * (drawn // n + CASE WHEN x5.x5 < drawn % n THEN 1 ELSE 0 END)) AS BIGINT) AS taken FROM x5 GROUP BY doc_id, start)
-SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(t.taken, 0) AS taken FROM q LEFT JOIN t USING (doc_id, start)
+s4 AS (SELECT *, least(most::DOUBLE, level * weight) AS target, greatest(1, least(64, source_size // 512)) AS width FROM s3),
+s5 AS (SELECT *, CAST(ceil(source_size / width) AS BIGINT) AS n FROM s4),
+s AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target * n / source_size) AS BIGINT) ELSE 0 END AS slots FROM s5),
+j AS (SELECT number, n, unnest(range(slots)) AS j FROM s WHERE slots > 0),
+{_permuted("j", "drawn", "j % n", "n", "number")},
+times AS (SELECT number, drawn AS b, count(*) AS times FROM drawn GROUP BY 1, 2),
+p AS (SELECT d.*, coalesce(CAST(sum(size) OVER (PARTITION BY source ORDER BY bucket, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS start FROM d),
+q AS (SELECT p.doc_id, p.size, p.start, s.number, s.source_size, s.target, s.width FROM p JOIN s ON p.source IS NOT DISTINCT FROM s.source),
+b AS (SELECT *, unnest(range(start // width, (start + size - 1) // width + 1)) AS b FROM q WHERE size > 0),
+t AS (SELECT number, start, CAST(sum((least(start + size, (b + 1) * width) - greatest(start, b * width)) * times) AS BIGINT) AS taken FROM b JOIN times USING (number, b) GROUP BY 1, 2)
+SELECT q.doc_id, q.size, q.source_size, q.target, CASE WHEN size > 0 THEN coalesce(t.taken, 0) ELSE 0 END AS taken FROM q LEFT JOIN t USING (number, start)
 """
 
 _RECORD = "'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode({0})) || chr(13) || chr(10) || chr(13) || chr(10) || {0} || chr(13) || chr(10) || chr(13) || chr(10)"
