@@ -1,7 +1,8 @@
-"""Tables that cut lineage, in the folder all executors share."""
+"""Tables that cut lineage, in the folder all executors share. They stay until the folder is cleaned, as results are read from them later."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, one of the session's own, if all executors are threads of the driver."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         found = _own.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="strandline-")
         _own[app] = found
