@@ -1,9 +1,9 @@
 """The corpus pipeline: stages over documents, each written before the next.
 
 Quality rules drop what they reject; of each group of near-duplicates the least
-document stays; personal data is masked; sources are mixed to their targets
-(documents repeat or go as their share of words says); the texts that remain are
-segmented. All stages but the last return the columns of documents.
+document stays; personal data is masked; sources are mixed to their targets, as
+slots of packed blocks (a row for each piece of a document in a slot); these pieces
+are segmented. All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -30,13 +30,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """The slots of the mix, a row for each piece of a document in one, as often as the mix takes it."""
     return mixing.remix(docs).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every document."""
-    return segment.sample_segmentations(docs, k=2, full=True)
+    return segment.sample_segmentations(docs, k=2)
 
 
 STAGES = [

@@ -2,9 +2,11 @@
 
 The vocabulary is that of a SentencePiece model file (path is a parameter; the
 file is never changed or copied). A text is a lattice: nodes are byte offsets,
-edges are pieces; characters without a piece go by byte pieces. Its units end
-before each space, around each newline, and after UNIT bytes of anything longer,
-and no piece crosses a unit's end. A piece of merge rank r weighs
+edges are pieces; characters without a piece go by byte pieces. The lattice falls
+into units at places that no piece spans: between two bytes that no piece of the
+vocabulary has next to each other, and in units over LONG bytes also wherever no
+edge of the text crosses. So units are only a matter of speed, and a text without
+such places is one unit, however long. A piece of merge rank r weighs
 1 / (r + RANK_SHIFT), as merge models carry ranks and not probabilities.
 
 Exact backward masses make every prefix a set of segmentations of known
@@ -24,13 +26,14 @@ lattices are built once for each distinct unit of it.
 
 Defined results: a null or empty text has one segmentation without pieces, and
 any text at most as many samples as it has segmentations (fewer than k rows). A
-null key counts as 0. Repeated rows give equal rows. Decoding is exact for every
+null key counts as 0. Repeated rows give equal rows. An empty table gives an empty
+result. Masses of long units are kept with exponents of their own, so that they
+don't vanish; a unit's lattice is held whole, some 300 bytes of memory a byte. Decoding is exact for every
 text, including literal U+2581.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,11 +44,10 @@ from . import _text as T
 
 U = np.uint64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-UNIT, RANK_SHIFT = 48, 10.0
-CHUNK, SEARCH = 2 << 20, 1 << 18  # bytes of text whose units share a lattice, and that are searched together
-DIGEST = "doc_id long, sample int, n_pieces long, n_bytes long, log_prob double, perturbed double, log_inclusion double, ids_sha256 string"
+LONG, RANK_SHIFT = 56, 10.0  # masses of units up to LONG bytes can't vanish
+CHUNK, SEARCH = 1 << 20, 1 << 17  # bytes of text whose units share a lattice, and that are searched together
 DEEP, FLOOR = 60.0, 38.0
-FULL = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double"
+SCHEMA = "doc_id long, sample int, ids array<int>, n_pieces long, n_bytes long, log_prob double, perturbed double, log_inclusion double"
 _loaded: dict = {}
 
 
@@ -72,13 +74,15 @@ class Vocabulary:
             else:
                 raw = piece.replace("▁", " ").encode()
                 weight[i] = 1.0 / (max(0.0, -model.get_score(i)) + RANK_SHIFT)
-                if not (b" " in raw[1:] or b"\n" in raw):
-                    codes.append(raw)
-                    ids.append(i)
+                codes.append(raw)
+                ids.append(i)
             self.bytes.append(raw)
         self.weight = weight / weight.sum()
         data = np.frombuffer(b"".join(codes), np.uint8)
         ends = np.cumsum([len(c) for c in codes])
+        self.beside = np.zeros(1 << 16, bool)  # pairs of bytes that stand next to each other in a piece
+        pair = data[:-1].astype(np.int64) << 8 | data[1:]
+        self.beside[np.delete(pair, ends[:-1] - 1)] = True
         h = T.span_hashes(data, ends - [len(c) for c in codes], ends)
         o = np.argsort(h)
         self.hash, self.id = h[o], np.array(ids)[o]
@@ -100,21 +104,45 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _matches(raw: np.ndarray, stop: np.ndarray, vocab: Vocabulary) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Pieces in a flat buffer by length: where they start, and their ids. stop: where each byte's unit ends."""
+    n = len(raw)
+    p, q = T._pow(n + 1)
+    total = np.concatenate([np.zeros(1, U), np.cumsum(T.TABLE[raw] * p[:n], dtype=U)])
+    at = np.flatnonzero((raw & 0xC0) != 0x80)
+    for k in range(1, vocab.longest + 1):
+        at = at[at + k <= stop[at]]
+        if not len(at):
+            break
+        found, ids = vocab.find(T.mix((total[at + k] - total[at]) * q[at] + U(k * 0x9E3779B97F4A7C15 & (2**64 - 1))))
+        yield k, at[found], ids
+
+
+def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of spans one after another, where each span begins (and the last ends), and where each byte's span ends."""
+    size = ends - starts
+    base = np.concatenate([[0], np.cumsum(size)])
+    return data[np.repeat(starts - base[:-1], size) + np.arange(int(base[-1]))], base, np.repeat(base[1:], size)
+
+
+def units(data: np.ndarray, offsets: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the units of a flat buffer."""
     n = len(data)
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
-    cut[:n] |= (data == 32) | (data == 10)
-    cut[1:] |= data == 10
+    if n:
+        cut[1:n] |= ~vocab.beside[data[:-1].astype(np.int64) << 8 | data[1:]] & ((data[1:] & 0xC0) != 0x80)
     edge = np.flatnonzero(cut)
-    size = np.diff(edge)
-    long = np.flatnonzero(size > UNIT)
+    long = np.flatnonzero(np.diff(edge) > LONG)
     if len(long):
-        more = np.concatenate([np.arange(edge[i] + UNIT, edge[i + 1], UNIT) for i in long])
-        for _ in range(3):  # not within a character
-            more -= (data[more] & 0xC0) == 0x80
-        cut[more] = True
+        raw, base, stop = _gathered(data, edge[long], edge[long + 1])
+        spanned = np.zeros(len(raw) + 1, np.int64)
+        for k, at, _ in _matches(raw, stop, vocab):
+            if k > 1:
+                np.add.at(spanned, at + 1, 1)
+                np.add.at(spanned, at + k, -1)
+        free = np.flatnonzero((np.cumsum(spanned)[:-1] == 0) & ((raw & 0xC0) != 0x80))
+        cut[free + np.repeat(edge[long] - base[:-1], np.diff(base))[free]] = True
         edge = np.flatnonzero(cut)
     return edge[:-1], edge[1:]
 
@@ -123,27 +151,15 @@ class Lattice:
     """Edges of distinct units: by node, with the probability of each given its node."""
 
     def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab: Vocabulary) -> None:
-        size = ends - starts
-        base = np.concatenate([[0], np.cumsum(size)])
-        n = int(base[-1])
-        raw = data[np.repeat(starts - base[:-1], size) + np.arange(n)]
-        stop = np.repeat(base[1:], size)
-        p, q = T._pow(n + 1)
-        total = np.concatenate([np.zeros(1, U), np.cumsum(T.TABLE[raw] * p[:n], dtype=U)])
+        raw, base, stop = _gathered(data, starts, ends)
+        n = len(raw)
         node, target, piece = [], [], []
         alone = np.zeros(n, bool)  # characters that have a piece of their own
         lead = (raw & 0xC0) != 0x80
         follow = np.append(np.flatnonzero(lead), n)
         width = np.zeros(n, np.int64)
         width[follow[:-1]] = np.diff(follow)
-        at = np.flatnonzero(lead)
-        for k in range(1, min(vocab.longest, int(size.max()) if len(size) else 0) + 1):
-            at = at[at + k <= stop[at]]
-            if not len(at):
-                break
-            h = T.mix((total[at + k] - total[at]) * q[at] + U(k * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-            found, ids = vocab.find(h)
-            i = at[found]
+        for k, i, ids in _matches(raw, stop, vocab):
             node.append(i)
             target.append(i + k)
             piece.append(ids)
@@ -165,21 +181,37 @@ class Lattice:
         del node, target, piece, filled
         final = self.target == stop[self.node]
         # masses from the end of each unit backwards
-        far = (stop[self.node] - self.node).astype(np.uint8)
+        far = stop[self.node] - self.node
+        most = int(far.max(initial=0))
+        far = far.astype(np.uint8 if most < 256 else np.uint16 if most < 1 << 16 else np.int64)
         o = np.argsort(far, kind="stable")
-        cuts = np.searchsorted(far[o], np.arange(1, int(far.max(initial=0)) + 2))
-        mass = np.zeros(n + 1)
+        cuts = np.searchsorted(far[o], np.arange(1, most + 2))
+        mass, power = np.zeros(n + 1), np.zeros(n + 1 if most > LONG else 0, np.int64)  # a node's mass is mass * 2**power
         self.prob = vocab.weight[self.piece]
         for a, b in zip(cuts[:-1], cuts[1:]):
             e = o[a:b]
+            at = self.node[e]
             self.prob[e] *= np.where(final[e], 1.0, mass[self.target[e]])
-            np.add.at(mass, self.node[e], self.prob[e])
+            if len(power):
+                up = np.where(final[e], 0, power[self.target[e]])
+                power[at] = -(1 << 60)
+                np.maximum.at(power, at, up)
+                self.prob[e] = np.ldexp(self.prob[e], np.maximum(up - power[at], -2000))
+            np.add.at(mass, at, self.prob[e])
+            if len(power):
+                one = np.unique(at)
+                mass[one], shift = np.frexp(mass[one])
+                power[one] += shift
+                self.prob[e] = np.ldexp(self.prob[e], -shift[np.searchsorted(one, at)])
         self.target[final] = -1
         self.prob /= mass[self.node]
         with np.errstate(divide="ignore"):
             self.log = np.log(self.prob)
-        run = np.cumsum(self.prob)
-        self.cdf = run - (run - self.prob)[self.first[self.node]]
+        # sums over a chunk in integers, so that none depends on what stands before it in the chunk
+        self.fixed = np.rint(np.where(self.prob > 0, self.log, 0.0) * 2.0**36).astype(np.int64)
+        share = (self.prob * 2.0**40).astype(np.int64)
+        run = np.cumsum(share)
+        self.cdf = (run - (run - share)[self.first[self.node]]) * 2.0**-40
         self.cdf[self.first[1:][np.diff(self.first) > 0] - 1] = 2.0
         self.start = base[:-1]
 
@@ -231,14 +263,14 @@ class _Path:
     def __init__(self, edge: np.ndarray, unit: np.ndarray, first: np.ndarray, opened: np.ndarray, value: np.ndarray, lattice: Lattice, seed: np.ndarray) -> None:
         self.edge, self.unit, self.first, self.value = edge, unit, first, value
         size = np.diff(first)
-        log = lattice.log[edge]
+        log = lattice.fixed[edge]
         run = np.cumsum(log)
-        head = np.zeros(len(size))
+        head = np.zeros(len(size), np.int64)
         some = size > 0
         head[some] = (run - log)[first[:-1][some]]
         self.total = np.zeros(len(size))
-        self.total[some] = run[first[1:][some] - 1] - head[some]
-        self.before = run - log - np.repeat(head, size)
+        self.total[some] = (run[first[1:][some] - 1] - head[some]) * 2.0**-36
+        self.before = (run - log - np.repeat(head, size)) * 2.0**-36
         self.left, self.open = np.zeros(len(edge)), np.full(len(edge), -np.inf)
         self._values(np.flatnonzero(self.before > -DEEP), opened, value, lattice, seed)
         # uniform() resolves 53 bits, so no set below -DEEP can reach the best ones, unless there is none above
@@ -262,7 +294,7 @@ class _Path:
 
 def sample_chunk(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int, vocab: Vocabulary) -> Iterator[tuple[int, list[tuple[np.ndarray, ...]]]]:
     """Up to k samples of each text, for stretches of texts from a row on: arrays of (rows, edge pieces, n + 1 offsets, log_prob, perturbed, log_inclusion)."""
-    starts, ends = units(data, offsets)
+    starts, ends = units(data, offsets, vocab)
     row = T.rows_of(starts, offsets)
     h = T.span_hashes(data, starts, ends)
     _, one, kind = np.unique(h, return_index=True, return_inverse=True)
@@ -386,7 +418,7 @@ def _log_inclusion(y: np.ndarray) -> np.ndarray:
     return np.where(y < -30, y, np.log(-np.expm1(-np.exp(np.clip(y, -30, 30)))))
 
 
-def sample_batches(batches: Iterator[pa.RecordBatch], k: int, path: str, full: bool) -> Iterator[pa.RecordBatch]:
+def sample_batches(batches: Iterator[pa.RecordBatch], k: int, path: str) -> Iterator[pa.RecordBatch]:
     vocab = vocabulary(path)
     sizes = np.array([len(b) for b in vocab.bytes])
     for batch in batches:
@@ -398,19 +430,12 @@ def sample_batches(batches: Iterator[pa.RecordBatch], k: int, path: str, full: b
             found = ((i + at, s, x) for at, parts in sample_chunk(data[o[0] : o[-1]], o - o[0], keys[i:j], k, vocab) for s, x in enumerate(parts))
             for at, s, (rows, piece, first, total, value, inclusion) in found:
                 n = np.diff(first)[rows]
-                scores = [pa.array(x[rows]) for x in (total, value, inclusion)]
-                head = [names.take(pa.array(rows + at)), pa.array(np.full(len(rows), s + 1, np.int32))]
-                ids = piece.astype("<i4")
-                if full:
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
-                    yield pa.RecordBatch.from_arrays([*head, lists, *scores], names=["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"])
-                else:
-                    held = np.concatenate([[0], np.cumsum(sizes[piece])])
-                    digest = [hashlib.sha256(ids[a:b]).hexdigest() for a, b in zip(first[rows], first[rows + 1])]
-                    yield pa.RecordBatch.from_arrays(
-                        [*head, pa.array(n), pa.array(held[first[rows + 1]] - held[first[rows]]), *scores, pa.array(digest, pa.string())],
-                        names=["doc_id", "sample", "n_pieces", "n_bytes", "log_prob", "perturbed", "log_inclusion", "ids_sha256"],
-                    )
+                held = np.concatenate([[0], np.cumsum(sizes[piece])])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(piece.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(rows + at)), pa.array(np.full(len(rows), s + 1, np.int32)), lists, pa.array(n), pa.array(held[first[rows + 1]] - held[first[rows]]), *(pa.array(x[rows]) for x in (total, value, inclusion))],
+                    names=["doc_id", "sample", "ids", "n_pieces", "n_bytes", "log_prob", "perturbed", "log_inclusion"],
+                )
 
 
 def decode(ids: list[int] | np.ndarray, path: str = MODEL) -> str:
@@ -425,14 +450,10 @@ def decode_batches(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sample"), pa.array(texts, pa.string())], names=["doc_id", "sample", "text"])
 
 
-def sample_segmentations(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, path: str = MODEL, full: bool = False) -> DataFrame:
-    """Up to k distinct segmentations of every text, best perturbed value first.
-
-    full: return piece ids; otherwise their number, the bytes they spell and the
-    SHA-256 of the ids as little-endian 32-bit integers.
-    """
+def sample_segmentations(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, path: str = MODEL) -> DataFrame:
+    """Up to k distinct segmentations of every text, best perturbed value first: piece ids, their number, and the bytes they spell."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInArrow(T.shipped(__name__, "sample_batches", k, path, full), FULL if full else DIGEST)
+    return docs.mapInArrow(T.shipped(__name__, "sample_batches", k, path), SCHEMA)
 
 
 def decode_segmentations(samples: DataFrame, path: str = MODEL) -> DataFrame:
