@@ -1,24 +1,27 @@
 """Toxicity by weak supervision: many voters, a label model, a linear classifier.
 
 Voters are words and word beginnings. A seed lexicon of insults votes for 1; the
-labelled fold adds terms that are far more frequent in texts labelled 1 (lexicon
-and prefix pattern voters), and one voter votes for 0 where no term is found.
-A generative label model over the voters' firing patterns estimates their
-accuracies by expectation-maximisation; a voter that doesn't fire abstains. Of
-voters that nearly always fire together (correlated ones, as a word and its
-beginning) the strongest counts. A logistic classifier over the same terms is
-then trained on the posterior labels of the sample, and scores every whole text.
+labelled fold proposes more terms, those far more frequent in texts labelled 1
+(lexicon and prefix pattern voters), and one voter votes for 0 where no term is found.
+From there on labels play no part: a generative label model over which voters fire
+on which text estimates, by expectation-maximisation, how often each fires in either
+class (its accuracy) and how much voters fire together beyond what the classes
+explain (correlations: of a word and its beginning, or of words of one phrase). A
+voter that doesn't fire abstains; correlated voters share the weight of one. A
+logistic classifier over the same terms is trained on the posterior labels of the
+sample, and scores every whole text.
 
 Fitting takes at most SAMPLE labelled rows, those with the least hash of their
 id, from the learning fold only (crc32 of the id as text, modulo 5, not 0); the
-bound is a parameter. Scoring is per row, without shuffle.
+bound is a parameter. The sample is written once. Scoring is per row, without shuffle.
 
 Features are marks of distinct terms, so a text's length alone doesn't move its
 score. Labels, language, source and id are never inputs of a score.
 
 Defined results: null and empty texts score as a text without any term; rows
 with a null id count as held out; repeated rows score alike. Without a labelled
-row in the learning fold the seed lexicon alone decides.
+row in the learning fold the seed lexicon alone decides. A text of any length is
+read in chunks of whole texts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,11 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import _text as T
+from . import _shared, _text as T
 
 U = np.uint64
 SEED_WORDS = ("idiot", "stupid", "moron", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "bastard", "bitch", "asshole", "retard", "idioten", "dummkopf", "arschloch", "connard", "salope", "imbécile", "cabrón", "gilipollas", "estúpido")
-SAMPLE, TERMS, PREFIXES = 10_000, 2000, (4, 5, 6, 7, 8)
+SAMPLE, PREFIXES = 10_000, (4, 5, 6, 7, 8)
+TIED, ABSTAIN = 0.5, 6.0
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 CHUNK = 1 << 20
 _FOLD = np.full(256, 32, np.uint8)  # ASCII letters in lower case, bytes of other characters as they are, all else a space
@@ -71,41 +75,43 @@ def held_out(doc_id) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def families(votes: np.ndarray) -> np.ndarray:
-    """Voters that say the same: one fires nearly always where the other does, as a word and its beginning. A number for each."""
-    seen = votes.sum(0)
-    both = votes.T @ votes
-    tied = both > 0.9 * np.minimum.outer(seen, seen)
-    name = np.arange(len(seen))
-    while True:
-        least = np.where(tied, name[None, :], len(seen)).min(1)
-        least = np.minimum(name, least)
-        if (least == name).all():
-            return name
-        name = least
+def shares(row: np.ndarray, col: np.ndarray, voters: int, post: np.ndarray) -> np.ndarray:
+    """The part of its weight that each voter keeps: one over one plus its correlations, within the class of toxic texts, with others.
 
-
-def _em(votes: np.ndarray, sure: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Dawid-Skene for voters that fire (1) or abstain (0): posteriors, and firing rates in classes 1 and 0.
-
-    sure: the lower bound of each voter's precision on the labelled fold; no voter counts for more.
-    Of a family of correlated voters, the strongest that fires counts, as copies of one voter would.
+    row, col: which voter fires on which text. Correlations up to TIED are taken for chance.
     """
-    any_vote = votes.any(1)
-    post = np.maximum((votes * sure).max(1), 0.02)
-    name = families(votes)
-    order = np.argsort(name, kind="stable")
-    starts = np.flatnonzero(np.append(True, np.diff(name[order]) != 0))
-    for _ in range(rounds):
-        share = float(np.clip(post.mean(), 0.005, 0.5))
-        on = (post @ votes + 0.5) / (post.sum() + 1)
-        off = ((1 - post) @ votes + 0.05) / ((1 - post).sum() + 1)
-        off = np.maximum(off, on * (1 - sure) / sure * share / (1 - share))
+    texts = np.flatnonzero(post > 0.01)
+    number = np.full(len(post), -1)
+    number[texts] = np.arange(len(texts))
+    keep = number[row] >= 0
+    fires = np.zeros((len(texts), voters), np.float32)
+    fires[number[row[keep]], col[keep]] = 1
+    weight = (post[texts] / post[texts].sum()).astype(np.float32)
+    rate = weight @ fires
+    spread = np.sqrt(np.maximum(rate * (1 - rate), 1e-9))
+    total = np.zeros(voters)
+    for a in range(0, voters, 512):
+        some = slice(a, a + 512)
+        tied = ((fires * weight[:, None]).T @ fires[:, some] - np.outer(rate, rate[some])) / np.outer(spread, spread[some])
+        total[some] = np.where(tied > TIED, np.minimum(tied, 1), 0).sum(0)
+    return 1 / np.maximum(total, 1.0)
+
+
+def label_model(row: np.ndarray, col: np.ndarray, n: int, voters: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Posteriors of n texts, firing rates of the voters in classes 1 and 0, and their shares, from firing patterns alone."""
+    count = np.bincount(row, minlength=n)
+    post = np.where(count > 0, 1 - 0.6 * 0.7**count, 0.02)
+    share = np.ones(voters)
+    for t in range(rounds):
+        prior = float(np.clip(post.mean(), 0.005, 0.5))
+        on = (np.bincount(col, post[row], voters) + 0.5) / (post.sum() + 1)
+        off = (np.bincount(col, 1 - post[row], voters) + 1) / ((1 - post).sum() + 2)
         off = np.minimum(off, on * 0.9)  # a voter for 1 is taken to do better than chance
-        log = np.maximum.reduceat(votes[:, order] * np.log(on / off)[order], starts, axis=1).sum(1)
-        log -= np.where(any_vote, 0.0, 6.0)  # a voter that doesn't fire abstains
-        post = 1 / (1 + np.exp(-np.clip(log + np.log(share / (1 - share)), -40, 40)))
-    return post, on, off
+        if t % 10 == 0:
+            share = shares(row, col, voters, post)
+        log = np.bincount(row, (share * np.log(on / off))[col], n) - np.where(count > 0, 0.0, ABSTAIN)
+        post = 1 / (1 + np.exp(-np.clip(log + np.log(prior / (1 - prior)), -40, 40)))
+    return post, on, off, share
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,28 +145,28 @@ def vote_batches(batches: Iterator[pa.RecordBatch], codes: bytes) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists], names=["doc_id", "voters"])
 
 
-def fit(votes: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of the voters and a bias, from what fires on each text of the sample."""
-    post, on, off = _em(votes, sure)
-    w = np.append(np.log(on / off) / 4, -3.0)
+def fit(row: np.ndarray, col: np.ndarray, n: int, voters: int) -> tuple[np.ndarray, float]:
+    """Weights of the voters and a bias, from what fires on each of n texts."""
+    post, on, off, share = label_model(row, col, n, voters)
+    w = np.append(np.log(on / off) * share / 4, -3.0)
     m, v = np.zeros(len(w)), np.zeros(len(w))
     for step in range(1, 301):  # Adam on the posterior labels
-        gap = 1 / (1 + np.exp(-np.clip(votes @ w[:-1] + w[-1], -40, 40))) - post
-        g = np.append(votes.T @ gap / len(votes) + 1e-5 * w[:-1], gap.mean())
+        gap = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col], n) + w[-1], -40, 40))) - post
+        g = np.append(np.bincount(col, gap[row], voters) / n + 1e-5 * w[:-1], gap.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most_terms: int = TERMS, least: int = 5) -> dict:
+def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, least: int = 5) -> dict:
     """A model: codes of terms (ascending), their weights, and the bias.
 
-    What reaches the driver: at most most_terms counted terms, and the numbers of
-    those that fire on each of at most sample rows.
+    What reaches the driver: the terms that least or more toxic texts of the sample
+    hold and few others, and which of them fire on each of at most sample rows.
     """
     seed = np.unique(np.array([term_code(w) for w in SEED_WORDS], U))
     plain = {"codes": seed, "weights": np.full(len(seed), 6.0), "bias": -4.0}
-    rows = learning_sample(documents, labels, id_col, text_col, sample)
+    rows = _shared.written(learning_sample(documents, labels, id_col, text_col, sample), "learned")
     total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("ones")).first()
     if not total["n"]:
         return plain
@@ -169,16 +175,12 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     rate = (F.col("ones") + base) / (F.col("ones") + F.col("zeros") + 1)
     seeds = F.col("code").isin([int(x) for x in seed])
     good = counted.filter(((F.col("ones") >= least) & (rate > 0.84) & (F.col("zeros") * 50 <= F.col("ones") + F.col("zeros"))) | seeds)
-    chosen = sorted(tuple(r) for r in good.orderBy(F.desc(F.col("ones") * rate), "code").limit(most_terms).select("code", "ones", "zeros").collect())
-    codes = np.array([r[0] for r in chosen], np.int64).astype(U)
-    sure = np.array([max(r[1], 0.5) / (r[1] + r[2] + 10) for r in chosen])
+    codes = np.sort(good.select("code").toArrow().column("code").to_numpy()).astype(U)
     if not len(codes):
         return plain
-    fired = sorted(map(tuple, rows.mapInArrow(T.shipped(__name__, "vote_batches", codes.tobytes()), "doc_id long, voters array<int>").collect()))
-    votes = np.zeros((len(fired), len(codes)), np.float32)
-    for i, (_, v) in enumerate(fired):
-        votes[i, v] = 1
-    weights, bias = fit(votes, sure)
+    fired = rows.mapInArrow(T.shipped(__name__, "vote_batches", codes.tobytes()), "doc_id long, voters array<int>").toArrow().sort_by("doc_id").column("voters").combine_chunks()
+    n = np.asarray(fired.value_lengths())
+    weights, bias = fit(np.repeat(np.arange(len(n)), n), np.asarray(fired.flatten()), len(n), len(codes))
     return {"codes": codes, "weights": weights, "bias": bias}
 
 
@@ -224,12 +226,11 @@ def learning_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_c
     return rows.groupBy("code").agg(F.min_by(F.struct("doc_id", "toxic", "text"), "doc_id").alias("row")).select("row.*")  # copies would count as many witnesses
 
 
-def score_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most_terms: int = TERMS) -> DataFrame:
+def score_toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every text; learns from a bounded sample first.
 
     sample: at most so many labelled rows are learned from, each in full.
-    most_terms: at most so many terms become voters.
     """
-    model = learn(documents, labels, id_col, text_col, sample, most_terms)
+    model = learn(documents, labels, id_col, text_col, sample)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(T.shipped(__name__, "score_batches", np.asarray(model["codes"], U).tobytes(), np.asarray(model["weights"], np.float64).tobytes(), float(model["bias"])), SCHEMA)
