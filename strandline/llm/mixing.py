@@ -34,7 +34,7 @@ from . import _shared
 
 WEIGHTS, MOST = (1, 2, 3), 3
 BLOCK, LEAST_BLOCKS, SHARD, ROUNDS = 64, 512, 1024, 12
-BUCKET_ROWS, MOST_BUCKETS = 1 << 16, 1 << 16
+BUCKET_ROWS, MOST_BUCKETS, STRETCH = 1 << 16, 1 << 16, 1 << 14
 PRIME = 2147483647
 WORD = r"[^\x20\x09-\x0D]++"
 
@@ -53,17 +53,23 @@ def _hashed(x: Column) -> Column:
     return F.aggregate(F.array(*(F.lit(k) for k in (73244475, 0x2C1B3C6D, 73244475))), low(first), step, lambda h: h.bitwiseXOR(F.shiftright(h, 16)))
 
 
-def _permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
-    """Index x below n to another, one to one, by swap-or-not rounds. key: which permutation, below 2**20.
+def _shifts(n: Column, key: Column, rounds: int = ROUNDS) -> Column:
+    """The rounds of a permutation of n indices: what each reflects them about. key: which permutation, below 2**20."""
+    about = lambda r: (_hashed(key * 4096 + r * 2) * (1 << 30) + _hashed(key * 4096 + r * 2 + 1)) % n
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long")), lambda r: F.struct(about(r).alias("about"), (key * 64 + r).alias("code")))
+
+
+def _permuted(x: Column, n: Column, shifts: Column) -> Column:
+    """Index x below n to another, one to one, by swap-or-not rounds.
 
     One higher-order function: as columns of their own, rounds make the optimizer's constraints grow without end.
     """
 
     def step(acc: Column, r: Column) -> Column:
-        other = ((_hashed(key * 4096 + r * 2) * (1 << 30) + _hashed(key * 4096 + r * 2 + 1)) % n + n - acc) % n
-        return F.transform(F.array(other), lambda y: F.when(_hashed(_hashed(F.greatest(acc, y)) * 4096 + key * 64 + r) % 2 == 1, y).otherwise(acc))[0]
+        other = (r["about"] + n - acc) % n
+        return F.transform(F.array(other), lambda y: F.when(_hashed(F.greatest(acc, y) * 4096 + r["code"]) % 2 == 1, y).otherwise(acc))[0]
 
-    return F.aggregate(F.array(*(F.lit(r).cast("long") for r in range(rounds))), x.cast("long"), step)
+    return F.aggregate(shifts, x.cast("long"), step)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
@@ -94,11 +100,15 @@ def slots(sources: DataFrame, shard: int = SHARD) -> DataFrame:
     everything = Window.partitionBy(F.lit(0))
     ahead = everything.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     s = sources.filter("slots > 0").withColumn("ahead", F.coalesce(F.sum("slots").over(ahead), F.lit(0))).withColumn("all", F.sum("slots").over(everything))
-    step = 1 << 14  # slots of a source are made in stretches, so that one source's are spread over tasks
-    s = s.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(step).cast("long")))).repartition("number", "from")
-    s = s.withColumn("j", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + step, F.col("slots")) - 1)))
-    s = s.withColumn("place", _permuted(F.col("ahead") + F.col("j"), F.col("all"), F.lit(0).cast("long")))
-    s = s.withColumn("drawn", _permuted(F.col("j") % F.col("n"), F.col("n"), F.col("number")))
+    s = s.withColumn("whose", _shifts(F.col("all"), F.lit(0).cast("long"))).withColumn("which", _shifts(F.col("n"), F.col("number")))
+    # slots of a source are made in stretches, dealt to tasks in turn
+    total = sources.agg(F.sum("slots")).first()[0] or 0
+    tasks = max(1, min(1 << 20, total // STRETCH))
+    s = s.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(STRETCH).cast("long"))))
+    s = s.withColumn("task", (F.floor((F.col("ahead") + F.col("from")) / STRETCH) % tasks).cast("int")).repartitionById(tasks, "task")
+    s = s.withColumn("j", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + STRETCH, F.col("slots")) - 1)))
+    s = s.withColumn("place", _permuted(F.col("ahead") + F.col("j"), F.col("all"), F.col("whose")))
+    s = s.withColumn("drawn", _permuted(F.col("j") % F.col("n"), F.col("n"), F.col("which")))
     return s.select("number", F.floor(F.col("place") / shard).cast("long").alias("shard"), (F.col("place") % shard).cast("int").alias("slot"), F.col("drawn").alias("block"))
 
 
@@ -118,7 +128,7 @@ def packed(sizes: DataFrame, sources: DataFrame, rows: int) -> DataFrame:
     sums = sums.select("number", "bucket", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("ahead"))
     inside = Window.partitionBy("number", "bucket").orderBy("doc_id", "text_key", "size").rowsBetween(Window.unboundedPreceding, -1)
     at = at.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    return at.join(sums, ["number", "bucket"]).withColumn("start", F.col("ahead") + F.col("inside")).drop("ahead", "inside", "bucket", "text_key")
+    return at.join(sums.hint("merge"), ["number", "bucket"]).withColumn("start", F.col("ahead") + F.col("inside")).drop("ahead", "inside", "bucket", "text_key")
 
 
 def pieces(rows: DataFrame) -> DataFrame:
@@ -135,8 +145,8 @@ def mix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     rows = _shared.written(packed(sizes, sources, sizes.count()), "packed")
     times = slots(sources).groupBy("number", F.col("block").alias("at")).agg(F.count("*").alias("times"))
     held = pieces(rows).select("number", "at", "start", (F.col("to") - F.col("from")).alias("words"))
-    taken = held.join(times, ["number", "at"]).groupBy("number", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    some, none = rows.filter("size > 0").join(taken, ["number", "start"], "left"), rows.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    taken = held.join(times.hint("merge"), ["number", "at"]).groupBy("number", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    some, none = rows.filter("size > 0").join(taken.hint("merge"), ["number", "start"], "left"), rows.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return some.unionByName(none, allowMissingColumns=True).select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
@@ -148,7 +158,7 @@ def emit(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source
     sizes = _shared.written(sized(documents, id_col, source_col, text_col), "sizes")
     sources = _shared.written(targets(sizes, weights, most, block), "sources")
     held = pieces(packed(sizes, sources, sizes.count())).select("number", "source", F.col("at").alias("block"), "doc_id", "from", "to")
-    return slots(sources).join(held, ["number", "block"]).select("shard", "slot", "source", "block", "doc_id", "from", "to")
+    return slots(sources).join(held.hint("merge"), ["number", "block"]).select("shard", "slot", "source", "block", "doc_id", "from", "to")
 
 
 def remix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", count_col: str | None = "n_chars", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = 512) -> DataFrame:
@@ -175,6 +185,6 @@ def remix(documents: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     plain = [c for c in documents.columns if c not in (text_col, count_col)]
     text = F.col("piece")["text"]
     held = held.select("number", F.col("piece")["at"].alias("block"), F.struct(*(F.col("row")[c].alias(c) for c in plain)).alias("row"), text.alias("text"))
-    taken = slots(sources).join(held, ["number", "block"])
+    taken = slots(sources).join(held.hint("merge"), ["number", "block"])
     of = {text_col: F.col("text"), count_col: F.length("text").cast(dict(documents.dtypes).get(count_col, "long"))}
     return taken.select(*(of[c].alias(c) if c in of else F.col("row")[c].alias(c) for c in documents.columns))

@@ -94,7 +94,7 @@ def _permuted(table: str, name: str, x: str, n: str, key: str, rounds: int = 12)
     for r in range(rounds):
         shift = f"({_hashed(f'{key} * 4096 + {2 * r}')} * 1073741824 + {_hashed(f'{key} * 4096 + {2 * r + 1}')}) % {n}"
         out.append(f"{name}{r}y AS MATERIALIZED (SELECT *, ({shift} + {n} - {name}) % {n} AS y FROM {at})")
-        bit = _hashed(f"{_hashed(f'greatest({name}, y)')} * 4096 + {key} * 64 + {r}")
+        bit = _hashed(f"(greatest({name}, y) * 4096 + {key} * 64 + {r})")
         at = f"{name}{r}z"
         out.append(f"{at} AS MATERIALIZED (SELECT * EXCLUDE (y, {name}), CASE WHEN {bit} % 2 = 1 THEN y ELSE {name} END AS {name} FROM {name}{r}y)")
     return ",\n".join([*out, f"{name} AS (SELECT * FROM {at})"])
