@@ -21,8 +21,8 @@ Passes, by exchange:
 Anchors with many different runs take the next digit, that of whole windows: each
 window is filed under 128 bits of its own 50 bytes, so that it spreads over all
 buckets, and equal ones within a task send one row. That is done in pass 1 for
-anchors that a sample of documents (one in RATE) shows in more than HOT of them,
-and in pass 3 for those with over SPLIT different runs; either way results are the
+anchors that a sample of documents (one in RATE) shows in more than HOT of them and
+with over LEAST_HOT runs, and in pass 3 for those with over SPLIT different runs; either way results are the
 same. So no task holds more than a share of one anchor.
 
 Texts are shuffled once, by id; both passes that need them read that exchange.
@@ -54,7 +54,7 @@ WIRE = "bucket int, kind int, p binary, q binary, r binary, s binary"
 _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in "pqrs")])
 #: kinds: records of anchors, covered spans, covered runs by key, runs whose bytes are asked for, bytes of runs, runs whose windows are asked for, windows by key
 RECORDS, SPANS, COVERED, ASKED, RUNS, WIDE, WINDOWS = range(7)
-RATE, HOT, LEAST_HOT, MOST_HOT, SPLIT = 64, 1e-4, 64, 1 << 17, 20_000
+RATE, HOT, LEAST_HOT, MOST_HOT, SPLIT = 64, 1e-4, 1 << 14, 1 << 17, 20_000
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 FULL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, end: long>>"
 
