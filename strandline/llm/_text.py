@@ -7,6 +7,7 @@ of a text and no Python code runs per word.
 
 from __future__ import annotations
 
+import ctypes
 import importlib
 import sys
 from collections.abc import Callable, Iterator
@@ -41,11 +42,35 @@ def shipped(module: str, name: str, *args) -> Callable:
     def run(*batches):
         if root not in sys.path:
             sys.path.append(root)
-        return getattr(importlib.import_module(module), name)(*batches, *args)
+        found = getattr(importlib.import_module(module), name)(*batches, *args)
+        return importlib.import_module(f"{module.rpartition('.')[0]}._text").trimmed(found)
 
     return run
 
 
+def trimmed(found):
+    """What a function for mapInArrow or applyInArrow gives; memory that it let go of returns to the system, as workers live on."""
+    if isinstance(found, pa.Table):
+        if found.nbytes > 1 << 20:
+            trim()
+        return found
+    return _then_trimmed(found)
+
+
+def _then_trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from batches
+    trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; every input bit reaches every output bit."""
     x = x ^ (x >> U(30))

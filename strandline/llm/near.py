@@ -114,15 +114,16 @@ class _Block:
 
     def __init__(self, node: np.ndarray, items: list[bytes], percent: int) -> None:
         self.node, self.percent = node, percent
-        every = np.frombuffer(b"".join(items), U)
         self.size = np.array([len(x) // 8 for x in items], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.size)])
-        _, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
-        rank = np.empty(len(count), np.int64)
-        rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+        _, inverse, count = np.unique(np.frombuffer(b"".join(items), U), return_inverse=True, return_counts=True)
+        del items
+        rank = np.empty(len(count), np.int32)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(count), dtype=np.int32)
         self.count = np.sort(count)
-        item, row = rank[inverse], np.repeat(np.arange(len(node)), self.size)
-        self.item = item[np.lexsort((item, row))]
+        item = rank[inverse]
+        del inverse, rank
+        self.item = item[np.lexsort((item, np.repeat(np.arange(len(node), dtype=np.int32), self.size)))]
         self.need = _need(self.size, percent)
         self.label = np.arange(len(node))
         seen: dict[int, int] = {}
@@ -137,13 +138,16 @@ class _Block:
 
     def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Nodes that share an item of their prefixes, and the item's place in each; of items with the same nodes, the first."""
-        row = np.repeat(np.arange(len(self.node)), self.size)
-        place = np.arange(len(self.item)) - self.first[row]
-        keep = np.flatnonzero((place <= (self.size - self.need)[row]) & (self.count[self.item] > 1))
-        o = keep[np.argsort(self.item[keep], kind="stable")]
+        n = np.minimum(self.size, self.size - self.need + 1)  # of each set, its prefix
+        keep = np.repeat(self.first[:-1] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        row = np.repeat(np.arange(len(self.node)), n)
+        some = self.count[self.item[keep]] > 1
+        keep, row = keep[some], row[some]
+        o = np.argsort(self.item[keep], kind="stable")
         if not len(o):
             return
-        x, row, place = self.item[o], row[o], place[o]
+        row, keep = row[o], keep[o]
+        x, place = self.item[keep], keep - self.first[row]
         k = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
         end = np.append(k[1:], len(o))
         k, end, code = k[end - k > 1], end[end - k > 1], np.add.reduceat(T.mix(row.astype(U) + U(0x9E3779B97F4A7C15)), k)[end - k > 1]
@@ -155,7 +159,7 @@ class _Block:
         mine = self.item[self.first[i] : self.first[i + 1]]
         self.mark[mine] = True
         out = np.zeros(len(others), bool)
-        step = max(1, (1 << 22) // max(1, int(self.size[others].max(initial=1))))
+        step = max(1, (1 << 20) // max(1, int(self.size[others].max(initial=1))))
         for a in range(0, len(others), step):
             j = others[a : a + step]
             n = self.size[j]
