@@ -522,7 +522,7 @@ def hot_anchors(docs: DataFrame, window: int, rate: int = RATE) -> tuple[int, np
     return total.get(0, 0), np.sort(gram[(key == 2) & (n >= HOT * total.get(1, 0))].view(U))
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, bucket_mb: int = 16, flush_mb: int = 32, full: bool = False, split: int = SPLIT, rate: int = RATE) -> DataFrame:
+def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, bucket_mb: int = 16, flush_mb: int = 12, full: bool = False, split: int = SPLIT, rate: int = RATE) -> DataFrame:
     """Remove every byte covered by a window that also starts in a document with a smaller id.
 
     documents: one row a document; other columns are not read.
