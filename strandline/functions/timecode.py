@@ -51,5 +51,5 @@ def pins(codes: Column) -> Column:
 
 
 def cue_id(prefix: str, ordinal: Column, start: Column) -> Column:
-    """Prefix, ordinal of two digits or more, and the start in tenths."""
-    return F.format_string(f"{prefix}%02d_%d", ordinal.cast("int"), F.bround(start * 10, 0).cast("long"))
+    """Prefix, ordinal (from 1) of two digits or more, and the start in tenths, 0 at least."""
+    return F.format_string(f"{prefix}%02d_%d", ordinal.cast("int"), F.greatest(F.lit(0), F.bround(start * 10, 0).cast("long")))

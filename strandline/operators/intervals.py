@@ -66,8 +66,25 @@ def chunk_at(times: DataFrame, chunks: DataFrame, keys: list[str], width: float)
 
 
 def recovered_chunk(times: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """The first position whose chunk ends after each time, else the last position. Chunks follow one another in order of pos."""
-    ends = chunks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "to"))).alias("__c"))
-    after = F.filter("__c", lambda c: c["to"] > F.col("t"))
-    pos = F.when(F.size(after) > 0, after[0]["pos"]).otherwise(F.element_at("__c", -1)["pos"])
-    return times.join(ends, keys).select(*times.columns, pos.alias("pos"))
+    """The first position whose chunk ends after each time, else the last position. Chunks follow one another in order of pos.
+
+    One sort of both sides: a chunk's end stands before equal times, so the next end after a time is that of its chunk.
+    """
+    both = times.select(*keys, F.struct(*times.columns).alias("__row"), F.col("t").alias("__t"), F.lit(1).alias("__q"), F.lit(None).cast("long").alias("pos")).unionByName(
+        chunks.select(*keys, F.lit(None).cast(times.select(F.struct(*times.columns)).schema[0].dataType).alias("__row"), F.col("to").alias("__t"), F.lit(0).alias("__q"), F.col("pos").cast("long"))
+    )
+    ahead = Window.partitionBy(*keys).orderBy("__t", "__q", "pos").rowsBetween(1, Window.unboundedFollowing)
+    found = both.withColumn("__next", F.first("pos", ignorenulls=True).over(ahead)).withColumn("__last", F.max("pos").over(Window.partitionBy(*keys)))
+    return found.filter("__q = 1 AND __last IS NOT NULL").select("__row.*", F.coalesce("__next", "__last").alias("pos"))
+
+
+def gaps(points: DataFrame, bounds: DataFrame, widest: float) -> DataFrame:
+    """Gaps over widest between neighbouring points (film_id, n, t), the film's ends among them (bounds: film_id, from, to).
+
+    Returns film_id, n (of the point before, 0 for the start), left, right, gap and
+    slots, how many picks would fill it.
+    """
+    w = Window.partitionBy("film_id").orderBy("t", "n")
+    both = points.select("film_id", "n", "t").unionByName(bounds.select("film_id", F.lit(0).cast("long").alias("n"), F.col("from").alias("t")))
+    g = both.withColumn("right", F.lead("t").over(w)).join(bounds.select("film_id", "to"), "film_id").withColumn("right", F.coalesce("right", "to")).withColumn("gap", F.col("right") - F.col("t"))
+    return g.filter(F.col("gap") > widest).select("film_id", "n", F.col("t").alias("left"), "right", "gap", F.greatest(F.lit(1), F.ceil(F.col("gap") / widest) - 1).cast("long").alias("slots"))

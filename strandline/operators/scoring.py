@@ -52,11 +52,27 @@ def useful_else_all(df: DataFrame, flag: str, *keys: str) -> DataFrame:
     return df.withColumn("__least", best).filter(F.col(flag).cast("int") == F.col("__least")).drop("__least")
 
 
-def with_change(samples: DataFrame, luma_weight: float = 220.0, saturation_weight: float = 90.0) -> DataFrame:
-    """Adds change: weighted differences to the sample before; 0 on the first of a film."""
+def with_change(samples: DataFrame, options: Options = Options()) -> DataFrame:
+    """Adds delta, regional and change against the sample before; 0 on the first of a film.
+
+    samples: film_id, n, r, g, b, luma, contrast, edge, motion, and tiles (array of r, g, b, luma).
+    """
     w = Window.partitionBy("film_id").orderBy("n")
-    jump = F.abs(F.col("luma") - F.lag("luma").over(w)) * luma_weight + F.abs(F.col("saturation") - F.lag("saturation").over(w)) * saturation_weight
-    return samples.withColumn("change", F.coalesce(jump, F.lit(0.0)))
+    was = samples.withColumn("__was", F.lag(F.struct("r", "g", "b", "luma", "contrast", "edge", "tiles")).over(w))
+    step = lambda c: F.abs(F.col(c) - F.col(f"__was.{c}"))
+    delta = F.sqrt(step("r") * step("r") + step("g") * step("g") + step("b") * step("b"))
+    was = was.withColumn("delta", F.coalesce(delta, F.lit(0.0))).withColumn("regional", F.coalesce(regional_change(F.col("tiles"), F.col("__was.tiles")), F.lit(0.0)))
+    change = F.col("delta") + step("luma") * 220 + step("contrast") * 90 + step("edge") * 90 + F.col("motion") * options.motion_weight + F.col("regional") * options.regional_weight
+    return was.withColumn("change", F.coalesce(change, F.lit(0.0))).drop("__was")
+
+
+def visual_distance(a: Column, b: Column) -> Column:
+    """Of two samples (structs of r, g, b, luma, contrast, edge and tiles): how different they look."""
+    rgb = lambda x, y: F.sqrt((x["r"] - y["r"]) * (x["r"] - y["r"]) + (x["g"] - y["g"]) * (x["g"] - y["g"]) + (x["b"] - y["b"]) * (x["b"] - y["b"])) / 255
+    n = F.least(F.size(a["tiles"]), F.size(b["tiles"]))
+    step = F.zip_with(F.slice(a["tiles"], 1, n), F.slice(b["tiles"], 1, n), rgb)
+    tiles = F.when(n > 0, 0.42 * F.aggregate(step, F.lit(0.0), lambda x, y: x + y) / n + 0.12 * F.array_max(step)).otherwise(0.0)
+    return 0.35 * rgb(a, b) + tiles + 0.06 * F.abs(a["luma"] - b["luma"]) + 0.03 * F.abs(a["contrast"] - b["contrast"]) + 0.02 * F.abs(a["edge"] - b["edge"])
 
 
 def change_threshold(changes: Column, sensitivity: float) -> Column:
@@ -68,7 +84,7 @@ def change_threshold(changes: Column, sensitivity: float) -> Column:
 
 def thresholds(changed: DataFrame, sensitivity: float) -> DataFrame:
     """film_id and threshold."""
-    later = F.collect_list(F.when(F.col("n") > 1, F.col("change")))
+    later = F.collect_list(F.when((F.col("n") > 1) & (F.abs("change") < float("inf")), F.col("change")))
     return changed.groupBy("film_id").agg(change_threshold(later, sensitivity).alias("threshold"))
 
 
@@ -83,8 +99,10 @@ def color_island(tiles: DataFrame, width: int = 2) -> DataFrame:
 
 
 def regional_change(now: Column, before: Column) -> Column:
-    """Of two arrays of (r, g, b, luma): .7 of the largest colour step, .25 of the mean one, 120 of the largest step of luma."""
-    step = F.zip_with(now, before, lambda a, b: F.sqrt((a["r"] - b["r"]) * (a["r"] - b["r"]) + (a["g"] - b["g"]) * (a["g"] - b["g"]) + (a["b"] - b["b"]) * (a["b"] - b["b"])))
-    light = F.zip_with(now, before, lambda a, b: F.abs(a["luma"] - b["luma"]))
-    mean = F.aggregate(step, F.lit(0.0), lambda a, x: a + x) / F.size(step)
-    return F.array_max(step) * 0.7 + mean * 0.25 + F.array_max(light) * 120
+    """Of two arrays of (r, g, b, luma): .7 of the largest colour step, .25 of the mean one, 120 of the largest step of luma; 0 of nothing."""
+    n = F.least(F.size(now), F.size(before))
+    pairs = F.arrays_zip(F.slice(now, 1, n).alias("a"), F.slice(before, 1, n).alias("b"))
+    step = F.transform(pairs, lambda p: F.sqrt((p["a"]["r"] - p["b"]["r"]) * (p["a"]["r"] - p["b"]["r"]) + (p["a"]["g"] - p["b"]["g"]) * (p["a"]["g"] - p["b"]["g"]) + (p["a"]["b"] - p["b"]["b"]) * (p["a"]["b"] - p["b"]["b"])))
+    light = F.transform(pairs, lambda p: F.abs(p["a"]["luma"] - p["b"]["luma"]))
+    mean = F.aggregate(step, F.lit(0.0), lambda a, x: a + x) / n
+    return F.when(n > 0, F.array_max(step) * 0.7 + mean * 0.25 + F.array_max(light) * 120).when(n == 0, 0.0)

@@ -49,6 +49,7 @@ class Film:
         n = len(pdf)
         for c in self.COLUMNS:
             setattr(self, c, pdf[c].to_numpy(float) if c in pdf else np.zeros(n))
+        self.tiles = np.array([[[t["r"], t["g"], t["b"]] for t in row] for row in pdf["tiles"]], float) if "tiles" in pdf and n else np.zeros((n, 0, 3))
         self.low = pdf["low"].to_numpy(bool) if "low" in pdf else np.zeros(n, bool)
         self.rgb = np.stack([self.r, self.g, self.b], 1)
         self.o = options
@@ -263,6 +264,9 @@ class Film:
         i, j = self.nearest(p.time), self.nearest(q.time)
         limit = max(self.o.similar_distance, self.o.duplicate_distance) if apart <= self.o.duplicate_window else self.o.similar_distance
         far = 0.35 * math.dist(self.rgb[i], self.rgb[j]) / 255 + 0.06 * abs(self.luma[i] - self.luma[j]) + 0.03 * abs(self.contrast[i] - self.contrast[j]) + 0.02 * abs(self.edge[i] - self.edge[j])
+        if self.tiles.shape[1]:
+            step = np.sqrt(((self.tiles[i] - self.tiles[j]) ** 2).sum(1)) / 255
+            far += 0.42 * step.mean() + 0.12 * step.max()
         return far <= limit
 
     def distinct(self, picks: list[Pick], most: int) -> list[Pick]:
@@ -336,7 +340,7 @@ PICKS = "film_id long, chunk long, from double, to double, time double, score do
 def adaptive_chunks(samples: DataFrame, cues: DataFrame, options: Options = Options()) -> DataFrame:
     """Keyframes of every film's chunks.
 
-    samples: film_id, t and the columns of Film; cues: film_id, start, end.
+    samples: film_id, t, the columns of Film, and tiles (array of r, g, b, luma; of one size) if there are any; cues: film_id, start, end.
     """
 
     def film(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import sys
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
+from fractions import Fraction
 
 from pyspark import cloudpickle
 
@@ -65,6 +66,44 @@ class Options:
             raise ValueError("durations must be positive")
 
 
+@dataclass(frozen=True)
+class Recognition:
+    """How frames are taken for the recognition of burned-in text."""
+
+    fps: float = 2.0
+    crop: float = 0.34
+    width: int = 960
+
+    def __post_init__(self) -> None:
+        if self.fps <= 0:
+            raise ValueError("fps must be positive")
+        if not 0.15 <= self.crop <= 0.65:
+            raise ValueError("crop must lie between 0.15 and 0.65")
+        if self.width < 320:
+            raise ValueError("width must be 320 at least")
+
+
+def usable_range(start: float, end: float | None, duration: float) -> tuple[float, float]:
+    """A range cut to the film; an empty one is an error."""
+    a, b = max(0.0, start), min(duration, duration if end is None else end)
+    if a >= b:
+        raise ValueError(f"the range from {a} to {b} is empty")
+    return a, b
+
+
+def frame_rate(step: float) -> str:
+    """Frames a second of a sample step, as a fraction with a denominator of 1000 at most."""
+    f = Fraction(1 / step).limit_denominator(1000)
+    return f"{f.numerator}/{f.denominator}"
+
+
+def decimal_rate(fps: float) -> str:
+    """A rate with 6 decimals at most, and no zeros at its end."""
+    if fps <= 0:
+        raise ValueError("fps must be positive")
+    return f"{fps:.6f}".rstrip("0").rstrip(".")
+
+
 PROFILES = {
     "batch": Options(),
     "reader": Options(max_sheet=420.0),
@@ -76,3 +115,25 @@ PROFILES = {
 def profile(name: str, **changes) -> Options:
     """A named profile with some fields replaced."""
     return replace(PROFILES[name], **changes)
+
+
+def arguments(options: Options) -> list[str]:
+    """The options that differ from the defaults, as arguments of a command line; parsed() reads them again."""
+    out = []
+    for f in fields(Options):
+        value = getattr(options, f.name)
+        if value != f.default:
+            out += [f"--{f.name.replace('_', '-')}", ",".join(map(str, value)) if isinstance(value, tuple) else str(value)]
+    return out
+
+
+def parsed(args: list[str]) -> Options:
+    """Options of a command line; an unknown name is an error."""
+    kinds = {f.name: type(f.default) for f in fields(Options)}
+    got = {}
+    for name, value in zip(args[::2], args[1::2], strict=True):
+        key = name.removeprefix("--").replace("-", "_")
+        if key not in kinds or not name.startswith("--"):
+            raise ValueError(f"not an option: {name}")
+        got[key] = tuple(float(x) for x in value.split(",") if x) if kinds[key] is tuple else kinds[key](value)
+    return Options(**got)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandline.functions import text as X, timecode as C
 from strandline.operators import ranking as R, retention, speech
+from strandline.operators.intervals import overlap_join
 from strandline.plans.catalogue import register
-from strandline.plans.timeline import CHUNKS_SQL, chunks
+from strandline.plans.timeline import CHUNKS_SQL, CLEAN, OPENING, chunks
 from strandline.sources import subtitles, views as V
 
 
@@ -19,13 +20,9 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.clean_cue(F.col("text")), 256).alias("digest"))
 
 
-@register(
-    "truncate_opening",
-    r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS x FROM documents)
-    SELECT doc_id, CASE WHEN len(string_split(x, ' ')) <= 6 THEN x ELSE regexp_replace(array_to_string(string_split(x, ' ')[1:6], ' '), '[,.;:!?\s]+$', '') || '...' END AS opening FROM t""",
-)
+@register("truncate_opening", f"WITH t AS (SELECT doc_id, {CLEAN.format("coalesce(text, '')")} AS x FROM documents) SELECT doc_id, {OPENING.format('x')} AS opening FROM t")
 def truncate_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "documents").select("doc_id", X.opening(X.squeeze(F.col("text"))).alias("opening"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", X.opening(F.col("text")).alias("opening"))
 
 
 @register(
@@ -40,20 +37,42 @@ def timecode_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", "code", C.read_strict(F.col("code")).alias("seconds"), C.subtitle_time(F.col("s")).alias("stamp"))
 
 
-@register("public_url", "SELECT page_id, regexp_extract(url, '^[^;?#]*') AS address, regexp_matches(url, '^(?i:https?)://[^/?#\\s]+') AS web FROM pages")
+#: addresses with parameters, upper case and other schemes, and paths
+_ADDRESSES = "SELECT page_id, CASE page_id % 7 WHEN 0 THEN url || ';p=1' WHEN 1 THEN replace(url, 'http', 'HTTP') WHEN 2 THEN replace(url, 'http', 'ftp') WHEN 3 THEN '/films/' || replace(url, '/', '_') || '.v2.mkv' WHEN 4 THEN replace(url, '/en/', '/e;n/') ELSE url END AS u FROM pages"
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, k = F.col("url"), F.col("page_id") % 7
+    swap = lambda a, b: F.replace(u, F.lit(a), F.lit(b))
+    made = F.when(k == 0, F.concat(u, F.lit(";p=1"))).when(k == 1, swap("http", "HTTP")).when(k == 2, swap("http", "ftp")).when(k == 3, F.concat(F.lit("/films/"), swap("/", "_"), F.lit(".v2.mkv"))).when(k == 4, swap("/en/", "/e;n/")).otherwise(u)
+    return V.table(spark, sf_dir, "pages").select("page_id", made.alias("u"))
+
+
+_PARTS = f"a AS ({_ADDRESSES}), p AS (SELECT *, lower(string_split(u, '://')[1]) AS scheme, regexp_extract(u, '://([^/?#]*)', 1) AS host, regexp_extract(u, '://[^/?#]*([^?#]*)', 1) AS path FROM a), q AS (SELECT *, contains(u, '://') AND scheme IN ('http', 'https') AND host <> '' AS web, string_split(path, '/') AS parts FROM p), w AS (SELECT *, array_to_string(list_append(parts[:-2], string_split(parts[-1], ';')[1]), '/') AS plain FROM q)"
+
+
+@register("public_url", f"WITH {_PARTS} SELECT page_id, CASE WHEN web THEN scheme || '://' || host || plain ELSE u END AS address, web FROM w")
 def public_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = F.col("url")
-    return V.table(spark, sf_dir, "pages").select("page_id", X.public_url(u).alias("address"), X.is_web(u).alias("web"))
+    return addresses(spark, sf_dir).select("page_id", X.public_url(F.col("u")).alias("address"), X.is_web(F.col("u")).alias("web"))
+
 
+_SLUG = "coalesce(nullif(lower(regexp_replace(regexp_replace({}, '[^A-Za-z0-9._-]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g')), ''), 'film')"
+_STEM = "CASE WHEN instr(substr({0}, 2), '.') > 0 AND NOT ends_with({0}, '.') THEN {0}[1:length({0}) - instr(reverse({0}), '.')] ELSE {0} END"
 
-@register("slug", "SELECT page_id, substr(regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 64) AS slug, substr(sha256(url), 1, 10) AS code FROM pages")
+
+@register(
+    "slug",
+    f"""WITH {_PARTS}, n AS (SELECT *, string_split(rtrim(u, '/'), '/')[-1] AS name, CASE WHEN web THEN coalesce(nullif(string_split(rtrim(plain, '/'), '/')[-1], ''), host) END AS hint FROM w),
+    t AS (SELECT *, {_STEM.format('name')} AS s, {_STEM.format('hint')} AS h FROM n), x AS (SELECT *, {_STEM.format('s')} AS ss FROM t)
+    SELECT page_id, {_SLUG.format('s')} AS slug, CASE WHEN web THEN {_SLUG.format('h')} || '-' || substr(sha256(u), 1, 10) ELSE {_SLUG.format('ss')} END AS folder FROM x""",
+)
 def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "pages").select("page_id", X.slug(F.col("url")).alias("slug"), X.short_hash(F.col("url")).alias("code"))
+    return addresses(spark, sf_dir).select("page_id", X.slug(F.col("u")).alias("slug"), X.cache_folder(F.col("u")).alias("folder"))
 
 
-@register("byte_sizes", "WITH x AS (SELECT o_orderkey, pow(o_orderkey % 50, 6)::DOUBLE AS b FROM orders) SELECT o_orderkey, CASE WHEN b < 1024 THEN printf('%d B', b::BIGINT) WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024) WHEN b < 1073741824 THEN printf('%.1f MiB', b / 1048576) ELSE printf('%.1f GiB', b / 1073741824) END AS size FROM x")
+@register("byte_sizes", "WITH x AS (SELECT o_orderkey, pow(o_orderkey % 150, 6)::DOUBLE AS b FROM orders) SELECT o_orderkey, CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN printf('%.1f KiB', round_even(b / 1024, 1)) WHEN b < 1073741824 THEN printf('%.1f MiB', round_even(b / 1048576, 1)) WHEN b < 1099511627776 THEN printf('%.1f GiB', round_even(b / 1073741824, 1)) ELSE printf('%.1f TiB', round_even(b / 1099511627776, 1)) END AS size FROM x")
 def byte_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.table(spark, sf_dir, "orders").select("o_orderkey", X.byte_size(F.pow(F.col("o_orderkey") % 50, F.lit(6)).cast("double")).alias("size"))
+    return V.table(spark, sf_dir, "orders").select("o_orderkey", X.byte_size(F.pow(F.col("o_orderkey") % 150, F.lit(6)).cast("double")).alias("size"))
 
 
 @register(
@@ -181,7 +200,7 @@ def asr_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = V.cues(spark, sf_dir)
     w = Window.partitionBy("film_id")
     c = chunks(q).withColumn("first_window", F.col("idx") == F.min("idx").over(w)).withColumn("last_window", F.col("idx") == F.max("idx").over(w))
-    return speech.owned(c.join(q, "film_id"), ["film_id"]).select("film_id", "idx", "ord")
+    return speech.owned(overlap_join(c, q, ["film_id"], ("from", "to"), ("start", "end"), 10.0), ["film_id"]).select("film_id", "idx", "ord")
 
 
 @register("notes_order", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(role), CASE WHEN turn % 4 <> 0 THEN turn * 3.5::DOUBLE END NULLS LAST, turn) AS place FROM conversations")
@@ -207,24 +226,51 @@ def row_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def located(texts: DataFrame, wanted: DataFrame, grams: int = 3) -> DataFrame:
-    """Pairs of a text (doc_id, text) and a wanted phrase (item_id, phrase) it holds, case apart.
+    """Pairs of a text (doc_id, text) and a wanted phrase (item_id, phrase) it holds, case and runs of white space apart; empty phrases are held by none.
 
-    Phrases of at least grams words meet texts on their first words, which
-    prunes nearly all pairs before contains() looks.
+    A phrase that stands in a text stands there with all its inner words, so phrases
+    of grams + 2 words or more meet texts on their second to fourth word. Shorter
+    ones, which may lie within words, meet them on their first three characters
+    (two or one, where they have no more). What meets on a key is a pair of hashes;
+    texts and phrases are joined to the distinct pairs, and looked at, once each.
     """
-    split = lambda x: F.split(X.squeeze(F.lower(x)), " ")
-    w = wanted.select("item_id", X.squeeze(F.lower("phrase")).alias("p"), split(F.col("phrase")).alias("w")).filter(F.size("w") > grams + 1)
-    w = w.withColumn("key", F.array_join(F.slice("w", 2, grams), " "))  # the first word may stand inside a longer one
-    t = texts.select("doc_id", X.squeeze(F.lower("text")).alias("t"), split(F.col("text")).alias("w"))
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - grams + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, grams), " ")))
-    hits = t.select("doc_id", "t", F.explode(keys).alias("key")).join(w.select("item_id", "p", "key"), "key")
-    return hits.filter(F.col("t").contains(F.col("p"))).select("doc_id", "item_id").distinct()
+    form = lambda c: X.squeeze(F.lower(c))
+    t = texts.select("doc_id", form("text").alias("t")).filter("t <> ''").withColumn("tk", F.xxhash64("doc_id", "t"))
+    w = wanted.select("item_id", form("phrase").alias("p")).filter("p <> ''").withColumn("pk", F.xxhash64("item_id", "p"))
+    words = F.split("t", " ")
+    long = F.size(F.split("p", " ")) >= grams + 2
+    runs = lambda n, last, key: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last - n + 1, F.lit(1))), key))
+    by_word = F.transform(F.array(words), lambda ws: runs(grams, F.size(ws), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, grams), " "))))[0]
+    keys = w.filter(long).select("pk", F.xxhash64(F.array_join(F.slice(F.split("p", " "), 2, grams), " ")).alias("key"))
+    met = t.select("tk", F.explode(by_word).alias("key")).join(keys, "key").select("tk", "pk")
+    short = w.filter(~long)
+    if not short.isEmpty():
+        head = short.select("pk", F.xxhash64(F.substring("p", 1, 3)).alias("key"))
+        of = lambda n: lambda c: runs(n, F.size(c), lambda i: F.xxhash64(F.array_join(F.slice(c, i, n), "")))
+        signs = lambda n: F.transform(F.array(F.split("t", "")), of(n))[0]
+        by_sign = F.concat(*map(signs, (1, 2, 3)))
+        met = met.unionByName(t.select("tk", F.explode(F.array_distinct(by_sign)).alias("key")).join(head, "key").select("tk", "pk"))
+    return met.distinct().join(t, "tk").join(w, "pk").filter(F.col("t").contains(F.col("p"))).select("doc_id", "item_id").distinct()
+
+
+_FORM = r"regexp_replace(regexp_replace(lower({}), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@register("locate_text", f"WITH n AS (SELECT doc_id, {_FORM.format('text')} AS t FROM documents), b AS (SELECT item_id, {_FORM.format('text')} AS p FROM benchmark) SELECT DISTINCT doc_id, item_id FROM n JOIN b ON contains(t, p) WHERE p <> ''")
+def locate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a whole benchmark item."""
+    return located(V.table(spark, sf_dir, "documents"), V.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase")))
 
 
-@register("locate_text", r"WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents), b AS (SELECT item_id, regexp_replace(regexp_replace(lower(array_to_string(string_split(text, ' ')[1:9], ' ')), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS p FROM benchmark) SELECT doc_id, item_id FROM n JOIN b ON contains(t, p) WHERE len(string_split(p, ' ')) > 4")
-def locate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = V.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 9), " ").alias("phrase"))
-    return located(V.table(spark, sf_dir, "documents"), b)
+@register(
+    "locate_phrase",
+    f"WITH n AS (SELECT doc_id, {_FORM.format('text')} AS t FROM documents), b AS (SELECT p_partkey AS item_id, {_FORM.format('p_name')} AS p FROM part WHERE p_partkey <= 40 UNION ALL SELECT item_id + 1000, string_split({_FORM.format('text')}, ' ')[2] FROM benchmark) SELECT DISTINCT doc_id, item_id FROM n JOIN b ON contains(t, p) WHERE p <> ''",
+)
+def locate_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold one of some short phrases: one word of each benchmark item, and names of parts."""
+    word = V.table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000).alias("item_id"), F.get(F.split(X.squeeze(F.lower("text")), " "), F.lit(1)).alias("phrase"))
+    part = V.table(spark, sf_dir, "part").filter("p_partkey <= 40").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("phrase"))
+    return located(V.table(spark, sf_dir, "documents"), part.unionByName(word))
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,16 +289,25 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT frame, string_agg(x, ' / ' ORDER BY -y, x, c) AS text, round_even(avg(c), 6) AS confidence FROM o WHERE p = 1 GROUP BY frame""",
 )
 def ocr_row_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = boxes(spark, sf_dir).select("frame", speech.read_boxes(F.col("boxes")).alias("r")).filter("r is not null")
+    r = speech.readings(boxes(spark, sf_dir)).select("frame", F.col("reading").alias("r")).filter("r is not null")
     return r.select("frame", "r.text", F.bround("r.confidence", 6).alias("confidence"))
 
 
-@register("ocr_merge")
+_READ = "SELECT film_id, ord, start, regexp_matches(text, '[\\p{L}\\p{N}]') AS named, text FROM v_cues"
+
+
+@register(
+    "ocr_merge",
+    f"""WITH {V.CUES_SQL}, t AS ({_READ})
+    SELECT film_id, start, start + 1.5 AS "end", text || '?' AS text, round_even((0.6::DOUBLE + 0.9::DOUBLE + 0.7::DOUBLE) / 3, 6) AS confidence, 3::BIGINT AS observations FROM t WHERE named
+    UNION ALL SELECT film_id, start + 0.5 * i, start + 0.5 * i + 0.5, text || ['', '?', '!'][i + 1], [0.6::DOUBLE, 0.9::DOUBLE, 0.7::DOUBLE][i + 1], 1 FROM (SELECT *, unnest(range(0, 3)) AS i FROM t) WHERE NOT named""",
+)
 def ocr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cues from repeated readings of a conversation's turns."""
+    """Cues from three readings of each of a conversation's turns, which differ in a sign and in confidence."""
     q = V.cues(spark, sf_dir)
-    reading = q.select("film_id", F.explode(F.array(*(F.col("start") + 0.5 * i for i in range(3)))).alias("time"), "text", F.lit(0.8).alias("confidence"))
-    return speech.merge_readings(reading, 0.5)
+    read = F.array(*(F.struct((F.col("start") + 0.5 * i).alias("time"), F.concat("text", F.lit(sign)).alias("text"), F.lit(sure).alias("confidence")) for i, (sign, sure) in enumerate((("", 0.6), ("?", 0.9), ("!", 0.7)))))
+    merged = speech.merge_readings(q.select("film_id", F.explode(read).alias("r")).select("film_id", "r.*"), 0.5)
+    return merged.withColumn("confidence", F.bround("confidence", 6))
 
 
 @register("text_similarity")
@@ -263,7 +318,12 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.withColumn("y", before).filter("y is not null").select("film_id", "ord", F.bround(speech.text_similarity("x", "y"), 6).alias("alike"), speech.normalized("x").alias("plain"))
 
 
-@register("detection_times", f"WITH {V.CUES_SQL}, d AS (SELECT film_id, max(\"end\") * 10 AS d FROM v_cues GROUP BY film_id), m AS (SELECT *, least(30.0::DOUBLE, d * 0.03::DOUBLE) AS g FROM d), x AS (SELECT film_id, d, round_even(g + (d - g * 2) * (i + 0.5::DOUBLE) / 20, 3) AS t FROM (SELECT *, unnest(range(0, 20)) AS i FROM m) UNION SELECT film_id, d, k * 60.0::DOUBLE FROM (SELECT *, unnest(range(1, 11)) AS k FROM m)) SELECT film_id, count(DISTINCT t) AS times, round_even(max(t), 3) AS last FROM x WHERE t < d GROUP BY film_id")
+@register(
+    "detection_times",
+    f"""WITH {V.CUES_SQL}, d AS (SELECT film_id, max("end") * 10 AS d FROM v_cues GROUP BY film_id), m AS (SELECT *, least(30.0::DOUBLE, d * 0.03::DOUBLE) AS g FROM d),
+    x AS (SELECT film_id, d, round_even(g + greatest(0.0::DOUBLE, d - g * 2) * (i + 0.5::DOUBLE) / 20, 3) AS t FROM (SELECT *, unnest(range(0, 20)) AS i FROM m) UNION SELECT film_id, d, k::DOUBLE FROM (SELECT *, unnest([60, 120, 180, 300, 450, 600]) AS k FROM m))
+    SELECT film_id, count(*) AS times, round_even(max(t), 3) AS last FROM x WHERE t >= 0 AND t < d GROUP BY film_id""",
+)
 def detection_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = V.cues(spark, sf_dir).groupBy("film_id").agg((F.max("end") * 10).alias("d"))
     t = d.select("film_id", speech.detection_times(F.col("d")).alias("t"))
@@ -273,9 +333,11 @@ def detection_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "subtitle_files",
     f"""WITH {V.CUES_SQL}, b AS (SELECT film_id, ord, (ord + 1) || chr(10) || printf('%02d:%02d:%02d,%03d', CAST(round_even(start * 1000, 0) AS BIGINT) // 3600000, CAST(round_even(start * 1000, 0) AS BIGINT) // 60000 % 60, CAST(round_even(start * 1000, 0) AS BIGINT) // 1000 % 60, CAST(round_even(start * 1000, 0) AS BIGINT) % 1000)
-      || ' --> ' || printf('%02d:%02d:%02d,%03d', CAST(round_even("end" * 1000, 0) AS BIGINT) // 3600000, CAST(round_even("end" * 1000, 0) AS BIGINT) // 60000 % 60, CAST(round_even("end" * 1000, 0) AS BIGINT) // 1000 % 60, CAST(round_even("end" * 1000, 0) AS BIGINT) % 1000) || chr(10) || style || chr(10) AS x FROM v_cues)
+      || ' --> ' || printf('%02d:%02d:%02d,%03d', CAST(round_even("end" * 1000, 0) AS BIGINT) // 3600000, CAST(round_even("end" * 1000, 0) AS BIGINT) // 60000 % 60, CAST(round_even("end" * 1000, 0) AS BIGINT) // 1000 % 60, CAST(round_even("end" * 1000, 0) AS BIGINT) % 1000) || chr(10) || CASE WHEN film_id % 2 = 0 THEN replace(text, ' / ', chr(10)) ELSE text END || chr(10) AS x FROM v_cues)
     SELECT film_id, sha256(string_agg(x, chr(10) ORDER BY ord)) AS digest FROM b GROUP BY film_id""",
 )
 def subtitle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = V.cues(spark, sf_dir).select("film_id", (F.col("ord") + 1).alias("ord"), "start", "end", F.col("style").alias("text"))
-    return subtitles.srt_text(q, ["film_id"]).select("film_id", F.sha2("srt", 256).alias("digest"))
+    """The SRT file of each film; in every other one, joined texts get a line for each part."""
+    q = V.cues(spark, sf_dir).select("film_id", (F.col("ord") + 1).alias("ord"), "start", "end", "text")
+    made = [subtitles.srt_text(q.filter(F.col("film_id") % 2 == k), ["film_id"], joined=k == 0) for k in (0, 1)]
+    return made[0].unionByName(made[1]).select("film_id", F.sha2("srt", 256).alias("digest"))

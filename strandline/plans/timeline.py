@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandline.functions import text as X, timecode as C
-from strandline.operators import folds, intervals as I, scoring as S, selection
+from strandline.operators import folds, intervals as I, scoring as S, selection, speech
 from strandline.options import Options
 from strandline.plans.catalogue import register
 from strandline.sources import subtitles, views as V
 
 O = Options()
-CHANGE = V.SAMPLES_SQL + """,
-v_change AS (SELECT *, coalesce(abs(luma - lag(luma) OVER w) * 220 + abs(saturation - lag(saturation) OVER w) * 90, 0) AS change FROM v_samples WINDOW w AS (PARTITION BY film_id ORDER BY n))
+CHANGE = V.FRAMES_SQL + """,
+v_change AS (SELECT * FROM v_frames)
 """
 
 
@@ -22,7 +22,7 @@ def _limit(name: str, sensitivity: float) -> str:
 
 
 def changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.with_change(V.samples(spark, sf_dir))
+    return S.with_change(V.frames(spark, sf_dir))
 
 
 @register("change_signal", f"WITH {CHANGE} SELECT film_id, n, round_even(change, 6) AS change FROM v_change")
@@ -37,9 +37,9 @@ def change_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CUTS = f"""
 WITH RECURSIVE {CHANGE}, {_limit('lim', 1.35)},
-e AS (SELECT film_id, min(t) AS a, max(t) AS b FROM v_change GROUP BY film_id),
+e AS (SELECT film_id, min(t) AS ea, max(t) AS eb FROM v_change GROUP BY film_id),
 c AS (SELECT film_id, t, change, row_number() OVER (PARTITION BY film_id ORDER BY n) AS k FROM v_change JOIN lim USING (film_id) JOIN e USING (film_id)
-      WHERE n > 1 AND change >= threshold AND t - a >= 4 AND b - t >= 4),
+      WHERE n > 1 AND change >= threshold AND t - ea >= 4 AND eb - t >= 4),
 r(film_id, k, i, t, change) AS (SELECT DISTINCT film_id, 0::BIGINT, 0::BIGINT, -1e9::DOUBLE, -1e9::DOUBLE FROM c
     UNION ALL SELECT c.film_id, c.k, CASE WHEN c.t - r.t < 4 THEN r.i ELSE r.i + 1 END,
         CASE WHEN c.t - r.t < 4 AND c.change <= r.change THEN r.t ELSE c.t END, CASE WHEN c.t - r.t < 4 AND c.change <= r.change THEN r.change ELSE c.change END
@@ -143,18 +143,19 @@ def regional_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.filter("before is not null").select("film_id", "n", F.bround(S.regional_change(F.col("tiles"), F.col("before")), 6).alias("regional"))
 
 
+_TILE_STEPS = [f"sqrt(pow({V._PREV[i][0]} - {V._WAS[i][0]}, 2) + pow(g - lag(g) OVER w, 2) + pow({V._PREV[i][1]} - {V._WAS[i][1]}, 2)) / 255" for i in range(4)]
+
+
 @register(
     "visual_distance",
-    f"""{_PAIRS}, m AS (SELECT a.film_id, a.n, sqrt(pow(a.r - b.r, 2) + pow(a.g - b.g, 2) + pow(a.b - b.b, 2)) AS g FROM v_mean a JOIN v_mean b ON a.film_id = b.film_id AND a.n = b.n + 1)
-    SELECT film_id, n, round_even(0.35::DOUBLE * any_value(g) / 255 + 0.42::DOUBLE * (sum(d) / 16) / 255 + 0.12::DOUBLE * max(d) / 255, 6) AS distance FROM x JOIN m USING (film_id, n) GROUP BY film_id, n""",
+    f"""WITH {V.FRAMES_SQL}, x AS (SELECT film_id, n, 0.35::DOUBLE * sqrt(pow(r - lag(r) OVER w, 2) + pow(g - lag(g) OVER w, 2) + pow(b - lag(b) OVER w, 2)) / 255 + 0.42::DOUBLE * ({" + ".join(_TILE_STEPS)}) / 4 + 0.12::DOUBLE * greatest({", ".join(_TILE_STEPS)})
+      + 0.06::DOUBLE * abs(luma - lag(luma) OVER w) + 0.03::DOUBLE * abs(contrast - lag(contrast) OVER w) + 0.02::DOUBLE * abs(edge - lag(edge) OVER w) AS d FROM v_frame WINDOW w AS (PARTITION BY film_id ORDER BY n))
+    SELECT film_id, n, round_even(d, 6) AS distance FROM x WHERE n > 1""",
 )
 def visual_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("film_id").orderBy("n")
-    t = V.tiles(spark, sf_dir).withColumn("p", F.lag(F.struct("tiles", "r", "g", "b")).over(w)).filter("p is not null")
-    step = F.zip_with("tiles", "p.tiles", lambda a, b: F.sqrt((a["r"] - b["r"]) * (a["r"] - b["r"]) + (a["g"] - b["g"]) * (a["g"] - b["g"]) + (a["b"] - b["b"]) * (a["b"] - b["b"])))
-    whole = F.sqrt(sum(((F.col(c) - F.col(f"p.{c}")) * (F.col(c) - F.col(f"p.{c}")) for c in "rgb"), F.lit(0.0)))
-    mean = F.aggregate("step", F.lit(0.0), lambda a, x: a + x) / 16
-    return t.withColumn("step", step).select("film_id", "n", F.bround(0.35 * whole / 255 + 0.42 * mean / 255 + 0.12 * F.array_max("step") / 255, 6).alias("distance"))
+    look = F.struct("r", "g", "b", "luma", "contrast", "edge", "tiles")
+    t = V.frames(spark, sf_dir).withColumn("now", look).withColumn("was", F.lag("now").over(Window.partitionBy("film_id").orderBy("n")))
+    return t.filter("was is not null").select("film_id", "n", F.bround(S.visual_distance(F.col("now"), F.col("was")), 6).alias("distance"))
 
 
 @register(
@@ -177,23 +178,34 @@ def post_event_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("film_id", "event").agg(F.min_by("t", F.struct((-worth).alias("w"), "n")).alias("t")).select("film_id", "event", F.bround("t", 6).alias("t"))
 
 
+_ENDS = f"v_ends AS (SELECT film_id, min(t) - 30 AS a, max(t) + 30 AS z FROM v_samples GROUP BY film_id)"
+
+
 @register(
     "gap_anchors",
-    f"WITH {V.SAMPLES_SQL}, g AS (SELECT film_id, n, t, lead(t) OVER (PARTITION BY film_id ORDER BY n) AS u FROM v_samples) SELECT film_id, n, round_even(u - t, 6) AS gap, greatest(1, CAST(ceil((u - t) / 20::DOUBLE) AS BIGINT) - 1) AS slots FROM g WHERE u - t > 20",
+    f"""WITH {V.SAMPLES_SQL}, {_ENDS}, p AS (SELECT film_id, n, t FROM v_samples UNION ALL SELECT film_id, 0, a FROM v_ends UNION ALL SELECT s.film_id, max(n) + 1, any_value(z) FROM v_samples s JOIN v_ends USING (film_id) GROUP BY s.film_id),
+    g AS (SELECT film_id, n, t, lead(t) OVER (PARTITION BY film_id ORDER BY n) AS u FROM p)
+    SELECT film_id, n, round_even(u - t, 6) AS gap, greatest(1, CAST(ceil((u - t) / 20::DOUBLE) AS BIGINT) - 1) AS slots FROM g WHERE u - t > 20""",
 )
 def gap_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = V.samples(spark, sf_dir).withColumn("u", F.lead("t").over(Window.partitionBy("film_id").orderBy("n")))
-    gap = F.col("u") - F.col("t")
-    return g.filter(gap > 20).select("film_id", "n", F.bround(gap, 6).alias("gap"), F.greatest(F.lit(1), F.ceil(gap / 20) - 1).cast("long").alias("slots"))
+    """Gaps over 20 between neighbours, the ends of the film (30 beyond its samples) among them."""
+    s = V.samples(spark, sf_dir).select("film_id", "n", "t")
+    return I.gaps(s, ends(s), 20.0).select("film_id", "n", F.bround("gap", 6).alias("gap"), "slots")
+
+
+def ends(samples: DataFrame) -> DataFrame:
+    """Films that begin 30 before their first sample and end 30 after their last."""
+    return samples.groupBy("film_id").agg((F.min("t") - 30).alias("from"), (F.max("t") + 30).alias("to"))
 
 
 @register(
     "boundary_gaps",
-    f"WITH {V.SAMPLES_SQL} SELECT film_id, round_even(min(t), 6) AS first_gap, round_even(720 - max(t), 6) AS last_gap, min(t) > 24 OR 720 - max(t) > 24 AS wide FROM v_samples GROUP BY film_id",
+    f"WITH {V.SAMPLES_SQL}, {_ENDS} SELECT film_id, round_even(min(t) - any_value(a), 6) AS first_gap, round_even(any_value(z) - max(t), 6) AS last_gap, min(t) - any_value(a) > 24 OR any_value(z) - max(t) > 24 AS wide FROM v_samples JOIN v_ends USING (film_id) GROUP BY film_id",
 )
 def boundary_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, last = F.min("t"), 720 - F.max("t")
-    return V.samples(spark, sf_dir).groupBy("film_id").agg(F.bround(first, 6).alias("first_gap"), F.bround(last, 6).alias("last_gap"), ((first > O.boundary_gap) | (last > O.boundary_gap)).alias("wide"))
+    s = V.samples(spark, sf_dir)
+    first, last = F.min("t") - F.first("from"), F.first("to") - F.max("t")
+    return s.join(ends(s), "film_id").groupBy("film_id").agg(F.bround(first, 6).alias("first_gap"), F.bround(last, 6).alias("last_gap"), ((first > O.boundary_gap) | (last > O.boundary_gap)).alias("wide"))
 
 
 CHUNKS_SQL = 'v_chunks AS (SELECT film_id, idx, idx * 10.0::DOUBLE AS "from", idx * 10.0::DOUBLE + 10 AS "to" FROM (SELECT film_id, unnest(range(0, CAST(floor(max("end") / 10) AS BIGINT) + 1)) AS idx FROM v_cues GROUP BY film_id))'
@@ -228,6 +240,8 @@ def times(cues: DataFrame) -> DataFrame:
     return t.withColumn("t", F.col("at") * F.lit(3.7))
 
 
+CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\{{[^}}]*\}}', '', 'g'), '\\[Nnh]', ' ', 'g'), '<[^>]+>', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+OPENING = "CASE WHEN {0} = '' THEN '' ELSE regexp_replace(CASE WHEN NOT regexp_matches({0}, '[㐀-鿿]') AND contains({0}, ' ') THEN array_to_string(string_split({0}, ' ')[1:6], ' ') ELSE substr({0}, 1, 24) END, '[,.!?;:，。！？；：]+$', '') || '...' END"
 _FAR = 'CASE WHEN t >= start AND t <= "end" THEN 0.0::DOUBLE ELSE least(abs(t - start), abs(t - "end")) END'
 
 
@@ -235,13 +249,13 @@ _FAR = 'CASE WHEN t >= start AND t <= "end" THEN 0.0::DOUBLE ELSE least(abs(t -
     "cue_anchor",
     f"""WITH {V.CUES_SQL}, {TIMES_SQL}, x AS (SELECT v.film_id, probe, ord, {_FAR} AS d, text FROM v_times v JOIN v_cues q USING (film_id)),
     b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY film_id, probe ORDER BY d, ord) AS p FROM x WHERE d <= 6) WHERE p = 1)
-    SELECT v.film_id, v.probe, b.ord, round_even(b.d, 6) AS distance, CASE WHEN len(string_split(b.text, ' ')) <= 6 THEN b.text ELSE regexp_replace(array_to_string(string_split(b.text, ' ')[1:6], ' '), '[,.;:!?\\s]+$', '') || '...' END AS opening
+    SELECT v.film_id, v.probe, b.ord, round_even(b.d, 6) AS distance, CASE WHEN b.ord IS NOT NULL THEN {OPENING.format(CLEAN.format("coalesce(b.text, '')"))} END AS opening
     FROM v_times v LEFT JOIN b USING (film_id, probe)""",
 )
 def cue_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = V.cues(spark, sf_dir)
     near = I.nearest_interval(times(q), q, ["film_id"], O.anchor_distance)
-    return near.select("film_id", F.col("at").alias("probe"), "ord", F.bround("distance", 6).alias("distance"), X.opening(F.col("text")).alias("opening"))
+    return near.select("film_id", F.col("at").alias("probe"), "ord", F.bround("distance", 6).alias("distance"), F.when(F.col("ord").isNotNull(), X.opening(F.col("text"))).alias("opening"))
 
 
 @register("subtitle_proximity", f"WITH {V.CUES_SQL}, {TIMES_SQL}, x AS (SELECT v.film_id, probe, min({_FAR}) AS d FROM v_times v JOIN v_cues q USING (film_id) GROUP BY v.film_id, probe) SELECT film_id, probe, round_even(CASE WHEN d <= 6 THEN 1 - d / 6 ELSE 0.0::DOUBLE END, 6) AS proximity FROM x")
@@ -274,28 +288,38 @@ def chunk_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.recovered_chunk(times(q), chunks(q).withColumnRenamed("idx", "pos"), ["film_id"]).select("film_id", F.col("at").alias("probe"), "pos")
 
 
-@register(
-    "vtt_collapse",
-    f"""WITH RECURSIVE {V.CUES_SQL}, c AS (SELECT film_id, start, "end", style AS x, row_number() OVER (PARTITION BY film_id ORDER BY ord) AS k FROM v_cues),
-    r(film_id, k, i, s, e, x) AS (SELECT DISTINCT film_id, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, '?' FROM c
-      UNION ALL SELECT c.film_id, c.k, CASE WHEN c.x = r.x OR starts_with(c.x, r.x || ' ') THEN r.i ELSE r.i + 1 END, CASE WHEN c.x = r.x OR starts_with(c.x, r.x || ' ') THEN r.s ELSE c.start END,
-        CASE WHEN c.x = r.x OR starts_with(c.x, r.x || ' ') THEN greatest(r.e, c."end") ELSE c."end" END, c.x FROM r JOIN c ON c.film_id = r.film_id AND c.k = r.k + 1)
-    SELECT film_id, i AS ord, arg_max(s, k) AS start, arg_max(e, k) AS "end", arg_max(x, k) AS text FROM r WHERE i > 0 GROUP BY film_id, i""",
-)
+def _collapse(cues: str) -> str:
+    """Tables of cues (film_id, start, end, x, k) of which growing texts are joined."""
+    grows = "c.x = r.x OR starts_with(c.x, r.x || ' ')"
+    return f"""r(film_id, k, i, s, e, x) AS (SELECT DISTINCT film_id, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, chr(1) FROM {cues}
+      UNION ALL SELECT c.film_id, c.k, CASE WHEN {grows} THEN r.i ELSE r.i + 1 END, CASE WHEN {grows} THEN r.s ELSE c.start END, CASE WHEN {grows} THEN greatest(r.e, c."end") ELSE c."end" END, c.x FROM r JOIN {cues} c ON c.film_id = r.film_id AND c.k = r.k + 1)"""
+
+
+#: cues whose texts grow word by word, as rolling captions do: each turn, and each turn with a word more
+_ROLLING = f"v_rolling AS (SELECT film_id, start, \"end\", x, row_number() OVER (PARTITION BY film_id ORDER BY ord, part) AS k FROM (SELECT film_id, ord, start, \"end\", text AS x, 0 AS part FROM v_cues UNION ALL SELECT film_id, ord, start, \"end\" + 1, text || ' more', 1 FROM v_cues WHERE ord % 2 = 0))"
+
+
+def rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = V.cues(spark, sf_dir).withColumn("part", F.lit(0))
+    more = q.filter("ord % 2 = 0").withColumn("end", F.col("end") + 1).withColumn("text", F.concat("text", F.lit(" more"))).withColumn("part", F.lit(1))
+    return q.unionByName(more)
+
+
+@register("vtt_collapse", f"""WITH RECURSIVE {V.CUES_SQL}, {_ROLLING}, {_collapse('v_rolling')} SELECT film_id, i AS ord, arg_max(s, k) AS start, arg_max(e, k) AS "end", arg_max(x, k) AS text FROM r WHERE i > 0 GROUP BY film_id, i""")
 def vtt_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = F.sort_array(F.collect_list(F.struct("ord", "start", "end", F.col("style").alias("text"))))
-    c = V.cues(spark, sf_dir).groupBy("film_id").agg(folds.rolled_up(rows).alias("c"))
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("ord", "part", "start", "end", "text"))), lambda x: F.struct(x["ord"].alias("ord"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
+    c = rolling(spark, sf_dir).groupBy("film_id").agg(folds.rolled_up(rows).alias("c"))
     return c.select("film_id", F.posexplode("c").alias("p", "c")).select("film_id", (F.col("p") + 1).cast("long").alias("ord"), "c.start", "c.end", "c.text")
 
 
 @register(
     "ass_dedupe",
-    f"""WITH {V.CUES_SQL}, d AS (SELECT film_id, start, "end", style AS text FROM v_cues UNION ALL SELECT film_id, start + 0.01::DOUBLE, "end", style FROM v_cues),
+    f"""WITH {V.CUES_SQL}, d AS (SELECT film_id, start, "end", text FROM v_cues UNION ALL SELECT film_id, start + 0.01::DOUBLE, "end", text FROM v_cues),
     k AS (SELECT *, row_number() OVER (PARTITION BY film_id, round_even(start * 10, 0), round_even("end" * 10, 0), text ORDER BY start, "end", text) AS p FROM d)
     SELECT film_id, row_number() OVER (PARTITION BY film_id ORDER BY start, "end", text) AS ord, round_even(start, 6) AS start, text FROM k WHERE p = 1""",
 )
 def ass_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = V.cues(spark, sf_dir).select("film_id", "start", "end", F.col("style").alias("text"))
+    c = V.cues(spark, sf_dir).select("film_id", "start", "end", "text")
     both = c.unionByName(c.withColumn("start", F.col("start") + 0.01))
     return subtitles.distinct_cues(both, ["film_id"]).select("film_id", "ord", F.bround("start", 6).alias("start"), "text")
 
@@ -308,24 +332,67 @@ def cue_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.cues(spark, sf_dir).select("film_id", "ord", C.cue_id("S", F.col("ord") + 1, F.col("start")).alias("id"), C.show(F.col("start")).alias("clock"))
 
 
+_LINE = "printf('{p}%02d_%d', {o}, CAST(round_even(start * 10, 0) AS BIGINT)) || ' ' || " + _SHOW.format("CAST(round_even(start, 0) AS BIGINT)") + " || '-' || " + _SHOW.format('CAST(round_even("end", 0) AS BIGINT)') + " || {m} || ': ' || text"
+_AT = lambda x: _SHOW.format(f"CAST(round_even({x}, 0) AS BIGINT)")
+_SPAN = f"{_AT('a')} || '-' || {_AT('z')}"
+
+
 @register(
     "sidecar_lines",
-    f"""WITH {V.CUES_SQL}, l AS (SELECT film_id, ord, printf('S%02d_%d', ord, CAST(round_even(start * 10, 0) AS BIGINT)) || ' ' || {_SHOW.format('CAST(round_even(start, 0) AS BIGINT)')} || '-' || {_SHOW.format('CAST(round_even("end", 0) AS BIGINT)')} || ': ' || style AS line FROM v_cues)
-    SELECT film_id, sha256(string_agg(line, chr(10) ORDER BY ord)) AS digest, count(*) AS lines FROM l GROUP BY film_id""",
+    f"""WITH {V.CUES_SQL}, q AS (SELECT *, ord + 1 AS o, film_id % 3 = 1 AS burned, CASE WHEN ord % 2 = 0 THEN ord % 10 / 10::DOUBLE END AS sure FROM v_cues WHERE film_id % 3 <> 2),
+    h AS (SELECT *, row_number() OVER (PARTITION BY film_id ORDER BY ord) AS o FROM v_cues WHERE style = 'assistant' AND film_id % 2 = 0),
+    f AS (SELECT film_id, min(start) AS a, max("end") AS z FROM v_cues GROUP BY film_id),
+    l AS (SELECT film_id, string_agg({_LINE.format(p='S', o='o', m="CASE WHEN NOT burned THEN '' WHEN sure IS NULL THEN ' [OCR]' ELSE printf(' [OCR %.2f]', sure) END")}, chr(10) ORDER BY ord) AS lines, CASE WHEN bool_and(burned) THEN 'burned-subtitle-ocr' ELSE 'source-subtitle' END AS label FROM q GROUP BY film_id),
+    m AS (SELECT film_id, string_agg({_LINE.format(p='A', o='o', m="''")}, chr(10) ORDER BY ord) AS lines FROM h GROUP BY film_id)
+    SELECT film_id, sha256('[subtitles ' || {_SPAN} || ' source=' || coalesce(l.label, 'none') || ']' || chr(10) || coalesce(l.lines || chr(10), '') || '[/subtitles]'
+      || CASE WHEN m.lines IS NULL THEN '' ELSE chr(10) || chr(10) || '[audio-transcript ' || {_SPAN} || ' source=audio-asr backend=local model=unknown]' || chr(10) || m.lines || chr(10) || '[/audio-transcript]' END) AS digest
+    FROM f LEFT JOIN l USING (film_id) LEFT JOIN m USING (film_id)""",
 )
 def sidecar_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = V.cues(spark, sf_dir).groupBy("film_id").agg(F.sort_array(F.collect_list(F.struct("ord", "start", "end", F.col("style").alias("text")))).alias("c"))
-    return c.select("film_id", F.sha2(F.array_join(F.transform("c", subtitles.sidecar_line), "\n"), 256).alias("digest"), F.size("c").cast("long").alias("lines"))
+    """The text that goes with each film: its cues (of a third none, of a third recognised), and of every other film what the assistant says as a transcript."""
+    q = V.cues(spark, sf_dir)
+    burned = F.when(F.col("film_id") % 3 == 1, "burned-subtitle-ocr").otherwise("source-subtitle")
+    shown = q.filter("film_id % 3 <> 2").withColumn("ord", F.col("ord") + 1).withColumn("source", burned).withColumn("confidence", F.when(F.col("ord") % 2 == 1, (F.col("ord") - 1) % 10 / 10))
+    heard = q.filter("style = 'assistant' AND film_id % 2 = 0").withColumn("ord", F.row_number().over(Window.partitionBy("film_id").orderBy("ord")).cast("long"))
+    pack = lambda d, name, *more: d.groupBy("film_id").agg(F.sort_array(F.collect_list(F.struct("ord", "start", "end", "text", *more))).alias(name))
+    films = q.groupBy("film_id").agg(F.min("start").alias("from"), F.max("end").alias("to"))
+    chunk = films.join(pack(shown, "cues", "source", "confidence"), "film_id", "left").join(pack(heard, "heard"), "film_id", "left")
+    made = subtitles.sidecar(chunk.withColumn("backend", F.lit("local")).withColumn("model", F.lit(None).cast("string")), ["film_id"])
+    return made.select("film_id", F.sha2("sidecar", 256).alias("digest"))
+
+
+def film_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with all that picks are scored by: change, quality, colour islands, regional change, motion and sound."""
+    s = S.color_island(changed(spark, sf_dir)).withColumn("quality", S.quality()).withColumn("low", S.low_information())
+    loud = V.samples(spark, sf_dir).select("film_id", (F.col("n") - 1).alias("i"), F.bround((F.col("luma") - 0.5) * 20000, 0).alias("x"))
+    heard = speech.heard_samples(s.withColumn("at", F.col("n")), speech.audio_bins(loud, 4, 0.25))
+    return heard.select("film_id", "t", "change", "r", "g", "b", "luma", "contrast", "edge", "quality", "low", "island", "regional", "motion", "tiles", F.col("audio_event").alias("audio"))
 
 
 @register("timeline_chunks")
 def timeline_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adaptive chunks of every film with their keyframes."""
-    s = changed(spark, sf_dir).select("film_id", "t", "change", (F.col("luma") * 255).alias("r"), (F.col("saturation") * 255).alias("g"), (F.col("edge") * 255).alias("b"), "luma", "contrast", "edge", S.quality().alias("quality"), S.low_information().alias("low"))
-    return selection.adaptive_chunks(s, V.cues(spark, sf_dir))
+    return selection.adaptive_chunks(film_samples(spark, sf_dir), V.cues(spark, sf_dir))
+
+
+_SPLIT = f"""
+{_CUTS.strip().rsplit("SELECT film_id, i AS cut", 1)[0]},
+v_cut AS (SELECT film_id, i, arg_max(t, k) AS t FROM r WHERE i > 0 GROUP BY film_id, i),
+v_mark AS (SELECT film_id, i, t FROM v_cut UNION ALL SELECT film_id, 0, ea FROM e UNION ALL SELECT e.film_id, coalesce(max(i), 0) + 1, any_value(eb) FROM e LEFT JOIN v_cut USING (film_id) GROUP BY e.film_id),
+v_first AS (SELECT film_id, i, t AS x, lead(t) OVER (PARTITION BY film_id ORDER BY i) AS y FROM v_mark),
+halves(film_id, i, node, x, y, cut) AS (
+    SELECT f.film_id, f.i, 1::BIGINT, x, y, coalesce((SELECT c.t FROM v_change c WHERE c.film_id = f.film_id AND c.t BETWEEN x + 4 - 0.001::DOUBLE AND y - 4 + 0.001::DOUBLE ORDER BY c.change DESC, c.n LIMIT 1), x + (y - x) / 2) FROM v_first f WHERE y IS NOT NULL
+    UNION ALL
+    SELECT h.film_id, h.i, 2 * node + side, CASE WHEN side = 0 THEN x ELSE cut END, CASE WHEN side = 0 THEN cut ELSE y END,
+        coalesce((SELECT c.t FROM v_change c WHERE c.film_id = h.film_id AND c.t BETWEEN (CASE WHEN side = 0 THEN x ELSE cut END) + 4 - 0.001::DOUBLE AND (CASE WHEN side = 0 THEN cut ELSE y END) - 4 + 0.001::DOUBLE ORDER BY c.change DESC, c.n LIMIT 1),
+                 (CASE WHEN side = 0 THEN x ELSE cut END) + ((CASE WHEN side = 0 THEN cut ELSE y END) - (CASE WHEN side = 0 THEN x ELSE cut END)) / 2)
+    FROM halves h, (VALUES (0), (1)) s(side) WHERE y - x > 18)
+SELECT film_id, row_number() OVER (PARTITION BY film_id ORDER BY i, node) AS ord, round_even(x, 6) AS start, round_even(y, 6) AS "end" FROM halves WHERE y - x <= 18 AND y - x >= 1
+"""
 
 
-@register("segments_split")
+@register("segments_split", _SPLIT)
 def segments_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of every film, long ones halved."""
-    return selection.segment_bounds(changed(spark, sf_dir).select("film_id", "t", "change"))
+    bounds = selection.segment_bounds(changed(spark, sf_dir).select("film_id", "t", "change"))
+    return bounds.select("film_id", "ord", F.bround("start", 6).alias("start"), F.bround("end", 6).alias("end"))

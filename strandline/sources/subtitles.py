@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from strandline.functions.text import clean_cue
-from strandline.functions.timecode import cue_id, read_stamp, subtitle_time
+from strandline.functions.text import clean_cue, strip
+from strandline.functions.timecode import cue_id, read_stamp, show, subtitle_time
 from strandline.operators.folds import rolled_up
 
 FORMATS = ("srt", "vtt", "ass", "ssa")
@@ -34,7 +34,7 @@ def srt(d: DataFrame, clean: bool = True) -> DataFrame:
     """Cues in the order of the file. clean=False keeps tags and line breaks and sorts by start."""
     rows = _timed(_blocks(d))
     body = F.array_join("body", "\n")
-    text = clean_cue(body) if clean else F.trim(body)
+    text = clean_cue(body) if clean else strip(body)
     order = Window.partitionBy("path").orderBy(*(["ord"] if clean else ["start", "ord"]))
     return rows.select("path", "ord", "start", "end", text.alias("text")).filter("text <> ''").withColumn("ord", F.row_number().over(order).cast("long"))
 
@@ -76,8 +76,10 @@ def distinct_cues(cues: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
-def read(spark: SparkSession, path: str, **options) -> DataFrame:
+def read(spark: SparkSession, path: str | None, **options) -> DataFrame:
     """Cues of files, by the ending of path. None has no cues; another ending is an error."""
+    if path is None:
+        return spark.createDataFrame([], "path string, ord long, start double, end double, text string")
     kind = path.rsplit(".", 1)[-1].lower()
     if kind not in FORMATS:
         raise ValueError(f"not a subtitle format: {kind}")
@@ -85,6 +87,26 @@ def read(spark: SparkSession, path: str, **options) -> DataFrame:
     return srt(d) if kind == "srt" else vtt(d) if kind == "vtt" else ass(d, **options)
 
 
+def marked(cues: DataFrame, source: str = "source-subtitle") -> DataFrame:
+    """Cues with the source they come from, where they don't name one."""
+    named = F.coalesce("source", F.lit(source)) if "source" in cues.columns else F.lit(source)
+    return cues.withColumn("source", named)
+
+
+def together(*tracks: DataFrame) -> DataFrame:
+    """All cues of several tracks, repeats included; columns that a track lacks are null."""
+    out = tracks[0]
+    for t in tracks[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def source_label(cues: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key, where its cues come from: burned-subtitle-ocr if all do, source-subtitle otherwise. Keys without cues have no row; their label is none."""
+    ocr = F.bool_and(F.coalesce(F.col("source") == "burned-subtitle-ocr", F.lit(False)))
+    return cues.groupBy(*keys).agg(F.when(ocr, "burned-subtitle-ocr").otherwise("source-subtitle").alias("label"))
+
+
 def shifted(cues: DataFrame, offset: float, keys: list[str]) -> DataFrame:
     """Cues moved by offset: those that end before 0 go, starts stop at 0, numbered anew. Sources stay as they are."""
     if abs(offset) < 0.001:
@@ -99,14 +121,38 @@ def srt_block(ord_: Column, start: Column, end: Column, text: Column, joined: bo
     return F.concat(ord_.cast("string"), F.lit("\n"), subtitle_time(start), F.lit(" --> "), subtitle_time(end), F.lit("\n"), body, F.lit("\n"))
 
 
-def srt_text(cues: DataFrame, keys: list[str]) -> DataFrame:
-    """The SRT file of each key, as one value."""
+def srt_text(cues: DataFrame, keys: list[str], joined: bool = False) -> DataFrame:
+    """The SRT file of each key, as one value. joined: cues of several lines joined by slashes, as recognition gives them."""
     rows = cues.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ord", "start", "end", "text"))).alias("c"))
-    return rows.select(*keys, F.array_join(F.transform("c", lambda x: srt_block(x["ord"], x["start"], x["end"], x["text"])), "\n").alias("srt"))
-
-
-def sidecar_line(cue: Column) -> Column:
-    """id start-end: text."""
-    from strandline.functions.timecode import show
-
-    return F.concat(cue_id("S", cue["ord"], cue["start"]), F.lit(" "), show(cue["start"]), F.lit("-"), show(cue["end"]), F.lit(": "), cue["text"])
+    return rows.select(*keys, F.array_join(F.transform("c", lambda x: srt_block(x["ord"], x["start"], x["end"], x["text"], joined)), "\n").alias("srt"))
+
+
+def sidecar_line(cue: Column, prefix: str = "S") -> Column:
+    """id start-end: text, with the confidence of recognised cues where the struct has a source."""
+    return _line(cue, prefix, F.lit(""))
+
+
+def _line(cue: Column, prefix: str, mark: Column) -> Column:
+    return F.concat(cue_id(prefix, cue["ord"], cue["start"]), F.lit(" "), show(cue["start"]), F.lit("-"), show(cue["end"]), mark, F.lit(": "), cue["text"])
+
+
+def sidecar(chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """The text that goes with each chunk (keys, from, to, cues, heard, backend, model).
+
+    cues: array of ord, start, end, text, source, confidence; heard: array of ord,
+    start, end, text, null or empty without a transcript. ord counts from 1.
+    """
+    span = F.concat(show(F.col("from")), F.lit("-"), show(F.col("to")))
+    burned = lambda c: F.coalesce(c["source"] == "burned-subtitle-ocr", F.lit(False))
+    n = F.coalesce(F.size("cues"), F.lit(0))
+    label = F.when(n <= 0, "none").when(F.forall("cues", burned), "burned-subtitle-ocr").otherwise("source-subtitle")
+    mark = lambda c: F.when(burned(c), F.when(c["confidence"].isNull(), " [OCR]").otherwise(F.concat(F.lit(" [OCR "), F.format_string("%.2f", F.bround(c["confidence"], 2)), F.lit("]")))).otherwise("")
+    none = F.array().cast("array<string>")
+    lines = F.concat(
+        F.array(F.concat(F.lit("[subtitles "), span, F.lit(" source="), label, F.lit("]"))), F.coalesce(F.transform("cues", lambda c: _line(c, "S", mark(c))), none), F.array(F.lit("[/subtitles]")),
+        F.when(
+            F.size("heard") > 0,
+            F.concat(F.array(F.lit(""), F.concat(F.lit("[audio-transcript "), span, F.lit(" source=audio-asr backend="), F.coalesce("backend", F.lit("unknown")), F.lit(" model="), F.coalesce("model", F.lit("unknown")), F.lit("]"))), F.transform("heard", lambda c: _line(c, "A", F.lit(""))), F.array(F.lit("[/audio-transcript]"))),
+        ).otherwise(none),
+    )
+    return chunks.select(*keys, F.array_join(lines, "\n").alias("sidecar"))

@@ -29,6 +29,51 @@ v_samples AS (SELECT user_id AS film_id, event_id, row_number() OVER (PARTITION
 """
 
 
+_TILES = 4
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """samples() with r, g, b, motion, and four tiles (r, g, b, luma), made from the same events."""
+    e = F.col("event_id")
+    whole = lambda x: F.bround(x, 0)
+    s = samples(spark, sf_dir).withColumn("r", whole(F.least(F.col("luma"), F.lit(1.0)) * 255)).withColumn("g", whole(F.col("saturation") * 255)).withColumn("b", (e * 37 % 256).cast("double"))
+    tile = lambda i: F.struct(((F.col("r") + i * (e % 17)) % 256).alias("r"), F.col("g").alias("g"), ((F.col("b") + i * 31) % 256).alias("b"), (F.col("luma") * (_TILES - i) / _TILES).alias("luma"))
+    return s.withColumn("motion", (e * 13 % 50) / 500).withColumn("tiles", F.array(*map(tile, range(_TILES))))
+
+
+_PREV = {i: (f"((r + {i} * (event_id % 17)) % 256)", f"((b + {i} * 31) % 256)", f"luma * {_TILES - i} / {_TILES}") for i in range(_TILES)}
+_WAS = {i: (f"((lag(r) OVER w + {i} * (lag(event_id) OVER w % 17)) % 256)", f"((lag(b) OVER w + {i} * 31) % 256)", f"lag(luma) OVER w * {_TILES - i} / {_TILES}") for i in range(_TILES)}
+_STEP = [f"sqrt(pow({_PREV[i][0]} - {_WAS[i][0]}, 2) + pow(g - lag(g) OVER w, 2) + pow({_PREV[i][1]} - {_WAS[i][1]}, 2))" for i in range(_TILES)]
+_LIGHT = [f"abs({_PREV[i][2]} - {_WAS[i][2]})" for i in range(_TILES)]
+#: v_frames has regional, delta and change beside the columns of frames() but its tiles
+FRAMES_SQL = (
+    SAMPLES_SQL
+    + f""",
+v_frame AS (SELECT *, round_even(least(luma, 1.0::DOUBLE) * 255, 0) AS r, round_even(saturation * 255, 0) AS g, (event_id * 37 % 256)::DOUBLE AS b, (event_id * 13 % 50) / 500::DOUBLE AS motion FROM v_samples),
+v_regional AS (SELECT *, coalesce(greatest({", ".join(_STEP)}) * 0.7::DOUBLE + ({" + ".join(_STEP)}) / {_TILES} * 0.25::DOUBLE + greatest({", ".join(_LIGHT)}) * 120, 0) AS regional,
+    coalesce(sqrt(pow(r - lag(r) OVER w, 2) + pow(g - lag(g) OVER w, 2) + pow(b - lag(b) OVER w, 2)), 0) AS delta FROM v_frame WINDOW w AS (PARTITION BY film_id ORDER BY n)),
+v_frames AS (SELECT *, coalesce(delta + abs(luma - lag(luma) OVER w) * 220 + abs(contrast - lag(contrast) OVER w) * 90 + abs(edge - lag(edge) OVER w) * 90 + motion * 260 + regional * 0.8::DOUBLE, 0) AS change
+    FROM v_regional WINDOW w AS (PARTITION BY film_id ORDER BY n))
+"""
+)
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """film_id, n, t and frame: pictures of 4 by 4 pixels (rgb24), from vectors of 64 values."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("film_id"), "vec_id", F.slice("embedding", 1, 48).alias("e"))
+    n = F.row_number().over(Window.partitionBy("film_id").orderBy("vec_id")).cast("long")
+    byte = lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.floor((x.cast("double") + 1) * 127.5)))), 2, "0")
+    return e.select("film_id", n.alias("n"), F.unhex(F.array_join(F.transform("e", byte), "")).alias("frame")).withColumn("t", (F.col("n") - 1).cast("double"))
+
+
+PIXELS_SQL = """
+v_byte AS (SELECT label::BIGINT AS film_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n, embedding AS e FROM embeddings),
+v_pixel AS (SELECT film_id, n, i, i % 4 AS x, i // 4 AS y, greatest(0, least(255, CAST(floor((e[3 * i + 1]::DOUBLE + 1) * 127.5::DOUBLE) AS BIGINT))) AS r, greatest(0, least(255, CAST(floor((e[3 * i + 2]::DOUBLE + 1) * 127.5::DOUBLE) AS BIGINT))) AS g,
+    greatest(0, least(255, CAST(floor((e[3 * i + 3]::DOUBLE + 1) * 127.5::DOUBLE) AS BIGINT))) AS b FROM (SELECT *, unnest(range(0, 16)) AS i FROM v_byte)),
+v_luma AS (SELECT *, (0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b) / 255 AS l FROM v_pixel)
+"""
+
+
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """film_id, ord, start, end, style, text: a conversation's turns."""
     c = table(spark, sf_dir, "conversations")

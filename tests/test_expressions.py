@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text as X, timecode as C
 from strandline.operators import ranking as R, scoring as S, speech
-from strandline.options import Options, profile
+from strandline.options import Options, Recognition, arguments, decimal_rate, frame_rate, parsed, profile, usable_range
 
 
 def values(spark, rows, column):
@@ -31,15 +31,29 @@ def test_time_codes(spark):
 
 def test_cue_text(spark):
     assert values(spark, ["{\\an8}<i>Hi</i>\\Nthere   you", " 　x "], X.clean_cue) == ["Hi there you", "x"]
-    assert values(spark, ["a b c d e f, g", "a b", "一" * 30], X.opening) == ["a b c d e f...", "a b", "一" * 24 + "..."]
+    assert values(spark, ["a b c d e f, g", "a b", "一" * 30, "x" * 30, "<i>yes!</i>", "一 二 三", "", None, "{x}"], X.opening) == ["a b c d e f...", "a b...", "一" * 24 + "...", "x" * 24 + "...", "yes...", "一 二 三...", "", "", ""]
     assert values(spark, ["ab", "a1b", "一丁", "!!!"], X.meaningful) == [False, True, True, False]
+    assert values(spark, ["S01_20", "A2", "", None, "_3"], X.short_label) == ["S01", "A2", "S", "S", "S"]
+    assert values(spark, ["Straße, a_b!", " é "], X.asr_key) == ["strassea_b", "é"]
     assert values(spark, ["Straße 1"], X.folded) == ["strasse1"]
 
 
 def test_addresses(spark):
-    assert values(spark, ["https://a.b/c?d#e", "http://a/b;p=1"], X.public_url) == ["https://a.b/c", "http://a/b"]
-    assert values(spark, ["https://a", "-http://a", "ftp://a", "HTTP://A/b"], X.is_web) == [True, False, False, True]
-    assert values(spark, ["Ein Film! (2020)"], X.slug) == ["ein-film-2020"]
+    given = ["https://a.b/c?d#e", "http://a/b;p=1", "HTTP://A/x;y/z;p;q?r", "ftp://a/b;c?d", "/films/a;b.mkv", None, "http:///x?y", "https://h#f"]
+    assert values(spark, given, X.public_url) == ["https://a.b/c", "http://a/b", "http://A/x;y/z", "ftp://a/b;c?d", "/films/a;b.mkv", "", "http:///x?y", "https://h"]
+    assert values(spark, ["https://a", "-http://a", "ftp://a", "HTTP://A/b", None, "http:///x"], X.is_web) == [True, False, False, True, False, False]
+    assert values(spark, ["Ein Film! (2020)", "/a/b/My.Film.v2.mkv", "x" * 80 + ".mp4", "", None, ".hidden", "...", "a/./"], X.slug) == ["ein-film-2020", "my.film.v2", "x" * 80, "film", "film", "hidden", "film", "a"]
+    import hashlib
+
+    tail = lambda u: hashlib.sha256(u.encode()).hexdigest()[:10]
+    given = ["https://h.org/v/Clip One.mp4?x=1", "https://h.org/", "/films/A b.c.mkv"]
+    assert values(spark, given, X.cache_folder) == [f"clip-one-{tail(given[0])}", f"h-{tail(given[1])}", "a-b"]
+    assert values(spark, [" en, de ,,fr", "", None], X.preferences) == [["en", "de", "fr"], [], []]
+    assert [r and tuple(r) for r in values(spark, ["4x3", " 5X4 ", "0x3", "4x", None], X.layout)] == [(4, 3), (5, 4), None, None, None]
+    assert values(spark, ["a", "../a", ".a", "a/b", "", "a b", None], X.safe_id) == [True, False, False, False, False, True, False]
+    assert values(spark, ["a/b.png", "/a", "a/../b", "..\\a", "", "a..b", None], X.safe_path) == [True, False, False, False, False, True, False]
+    assert [str(t) for t in values(spark, ["2024-01-02T03:04:05Z", "2024-01-02T03:04:05+02:00", "2024-01-02", "soon", None], X.iso_time)] == ["2024-01-02 03:04:05", "2024-01-02 01:04:05", "2024-01-02 00:00:00", "None", "None"]
+    assert values(spark, ["0", "1023", "1024", "-5", "1099511627776"], lambda x: X.byte_size(x.cast("long"))) == ["0.0 B", "1023.0 B", "1.0 KiB", "0.0 B", "1.0 TiB"]
     assert values(spark, ["a.WEBM", "b", "c.mp4"], X.mime) == ["video/webm", "video/mp4", "video/mp4"]
 
 
@@ -76,9 +90,22 @@ def test_similarity():
     assert speech.similarity("hello", "hello there") == pytest.approx(0.78 + 0.22 * 5 / 10)
     assert speech.similarity("abc", "xyz") == 0.0
     assert speech.similarity("x / hello", "hello") == 1.0
+    assert speech.similarity("ab/cd", "abcd") == pytest.approx(2 * 2 / 6)  # parts are compared, not the whole
+    assert speech.similarity("!!", "a") == speech.similarity("", "") == 0.0
 
 
 def test_options():
     assert profile("reader").max_sheet == 420.0
     with pytest.raises(ValueError, match="positive"):
         Options(sample_step=0)
+    for bad in ({"fps": 0}, {"crop": 0.1}, {"width": 100}):
+        with pytest.raises(ValueError, match="must"):
+            Recognition(**bad)
+    assert usable_range(-3, None, 60.0) == (0.0, 60.0) and usable_range(5, 99, 60.0) == (5, 60.0)
+    with pytest.raises(ValueError, match="empty"):
+        usable_range(60, 70, 60.0)
+    assert (frame_rate(0.5), frame_rate(3.0), frame_rate(1 / 30)) == ("2/1", "1/3", "30/1") and (decimal_rate(2.0), decimal_rate(0.3333333)) == ("2", "0.333333")
+    o = Options(max_gap=20.5, pins=(1.0, 2.5), max_keyframes=9)
+    assert parsed(arguments(o)) == o and arguments(Options()) == []
+    with pytest.raises(ValueError, match="option"):
+        parsed(["--nothing", "1"])

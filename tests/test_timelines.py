@@ -7,11 +7,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import folds, intervals as I, retention, selection as S, speech
+from strandline.operators import folds, frames, intervals as I, layout, retention, selection as S, speech
 from strandline.options import Options
 from strandline.plans import library
 from strandline.sources import subtitles
-from strandline.streaming import marks
+from strandline.streaming import jobs, marks
 
 
 def test_overlap_join_is_the_plain_join(spark):
@@ -125,6 +125,10 @@ def test_readings_merge(spark):
     r = spark.createDataFrame([(1, 0.0, "Hello world", 0.9), (1, 0.5, "Hello worl", 0.6), (1, 1.0, "Hello world", 0.7), (1, 9.0, "noise", 0.4), (1, 12.0, "Alone", 0.6)], "film_id long, time double, text string, confidence double")
     got = [(x.start, x.end, x.text, x.observations) for x in speech.merge_readings(r, 0.5).orderBy("start").collect()]
     assert got == [(0.0, 1.5, "Hello world", 3), (12.0, 12.5, "Alone", 1)]
+    long = "Hello world and all of its many people"  # a little longer counts for a little: 0.65 + 32/800 over 0.66 + 10/800
+    r = spark.createDataFrame([(1, 0.0, "Hello world", 0.66), (1, 0.5, long, 0.65), (1, 1.5, "its many people", 0.2)], "film_id long, time double, text string, confidence double")
+    got = [(x.start, x.end, x.text, x.observations) for x in speech.merge_readings(r, 0.5).collect()]
+    assert got == [(0.0, 2.0, long, 3)]
 
 
 def test_whole_cues_are_compared_and_merged(spark, tmp_path):
@@ -137,7 +141,7 @@ def test_whole_cues_are_compared_and_merged(spark, tmp_path):
     assert set(got) == set(want) and min(a for a, _ in want.values()) < 0.7
     assert all(got[k] == (pytest.approx(a, abs=1e-6), p) for k, (a, p) in want.items())
     merged = [(r.film_id, r.start, r.end, r.text, r.observations) for r in library.ocr_merge(spark, str(tmp_path)).orderBy("film_id", "start").collect()]
-    assert merged == [(c, 4.0 * k, 4.0 * k + 1.5, t, 3) for c, k, _, t in rows]
+    assert merged == [(c, 4.0 * k, 4.0 * k + 1.5, t + "?", 3) for c, k, _, t in rows]
 
 
 def test_expiry_is_closed(spark):
@@ -167,3 +171,87 @@ def test_cursor_stream(spark, tmp_path):
     q = marks.handed_out(stream).writeStream.format("memory").queryName("cursor").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(tuple(r) for r in spark.table("cursor").collect()) == rows
+
+
+def test_owned_leaves_out_what_is_there(spark):
+    rows = [(1, 1.0, 2.0, "Hello!", 0.0, 5.0, True, False), (1, 1.04, 2.0, "hello", 0.0, 5.0, True, False), (1, 4.0, 7.0, "over", 0.0, 5.0, True, False), (1, 4.0, 7.0, "over", 5.0, 9.0, False, True)]
+    d = spark.createDataFrame(rows, "film_id long, start double, end double, text string, from double, to double, first_window boolean, last_window boolean")
+    assert [(r.text, r["from"]) for r in speech.owned(d, ["film_id"]).orderBy("start").collect()] == [("Hello!", 0.0), ("over", 5.0)]
+    known = spark.createDataFrame([(1, 1.01, 2.01, "HELLO")], "film_id long, start double, end double, text string")
+    assert [r.text for r in speech.owned(d, ["film_id"], known).collect()] == ["over"]
+
+
+def test_boxes_of_one_frame(spark):
+    box = "array<struct<text:string,confidence:double,x:double,y:double,width:double>>"
+    rows = [([("Ｈｅｌｌｏ  there", 0.9, 0.4, 0.2, 0.3), ("first of two", 0.5, 0.4, 0.8, 0.3), ("second", 0.7, 0.4, 0.8, 0.3), ("hello THERE", 0.3, 0.4, 0.1, 0.3), ("edge", 0.9, 0.0, 0.5, 0.1), ("no", 0.9, 0.4, 0.5, 0.3)],), ([],), (None,)]
+    got = [r.reading and (r.reading.text, round(r.reading.confidence, 6)) for r in speech.readings(spark.createDataFrame(rows, f"boxes {box}")).collect()]
+    assert got == [("first of two / second / Hello there", 0.7), None, None]
+    frames = spark.createDataFrame([("a",), ("b",)], "path string")
+    images = spark.createDataFrame([("a", rows[0][0])], f"path string, boxes {box}")
+    assert {r.path: len(r.boxes) for r in speech.with_readings(frames, images).collect()} == {"a": 6, "b": 0}
+
+
+def test_frames_against_loops():
+    rng = np.random.default_rng(9)
+    w, h, grid = 7, 5, 3
+    raw = rng.integers(0, 256, w * h * 3).astype(np.uint8).tobytes()
+    s = frames.frame_stats(raw, w, h, grid)
+    px = [[tuple(raw[3 * (y * w + x) + c] for c in range(3)) for x in range(w)] for y in range(h)]
+    light = [[(0.2126 * r + 0.7152 * g + 0.0722 * b) / 255 for r, g, b in row] for row in px]
+    steps = [abs(light[y][x] - light[y][x + 1]) for y in range(h) for x in range(w - 1)] + [abs(light[y][x] - light[y + 1][x]) for y in range(h - 1) for x in range(w)]
+    tiles = {}
+    for y in range(h):
+        for x in range(w):
+            tiles.setdefault(min(grid - 1, y * grid // h) * grid + min(grid - 1, x * grid // w), []).append((*px[y][x], light[y][x]))
+    assert s["edge"] == pytest.approx(sum(steps) / len(steps)) and s["r"] == round(np.mean([p[0] for row in px for p in row]))
+    assert s["saturation"] == pytest.approx(np.mean([(max(p) - min(p)) / max(p) if max(p) else 0 for row in px for p in row]))
+    for k, t in enumerate(s["tiles"]):
+        assert (t["r"], t["luma"]) == (round(np.mean([p[0] for p in tiles[k]])), pytest.approx(np.mean([p[3] for p in tiles[k]])))
+    assert frames.frame_stats(b"", 0, 4)["tiles"] == [] and frames.frame_stats(None, 4, 4)["luma"] == 0
+    assert frames.pixel_motion(b"\x00\xff", b"\xff\xff\x01") == 0.5 and frames.pixel_motion(b"a", None) == 0
+
+
+def test_tiles_tell_alike_pictures_apart():
+    p = films(2, 20)
+    for c in ("r", "g", "b", "luma", "contrast", "edge"):
+        p[c] = 0.5
+    a, b = S.Pick(3.0, 1.0, "x", 0, 0), S.Pick(6.0, 1.0, "x", 0, 0)
+    assert S.Film(p, np.zeros((0, 2)), Options()).alike(a, b)
+    p["tiles"] = [[{"r": 255.0 * (i == 6), "g": 0.0, "b": 0.0, "luma": 0.0}] * 4 for i in range(20)]
+    assert not S.Film(p, np.zeros((0, 2)), Options()).alike(a, b)
+
+
+def test_rows_of_a_sheet(spark):
+    f = spark.createDataFrame([(1, float(t)) for t in (10, 20, 40, 50, 90)], "film_id long, time double")
+    b = spark.createDataFrame([(1, 0.0, 100.0), (2, 5.0, 9.0)], "film_id long, from double, to double")
+    got = [tuple(r) for r in layout.rows_of_keyframes(f, b, layout.Sheet(per_row=2, pack=False)).orderBy("film_id", "row", "place").collect()]
+    assert got == [(1, 0, 0, 10.0, 0.0, 30.0), (1, 0, 1, 20.0, 0.0, 30.0), (1, 1, 0, 40.0, 30.0, 70.0), (1, 1, 1, 50.0, 30.0, 70.0), (1, 2, 0, 90.0, 70.0, 100.0), (2, 0, 0, None, 5.0, 9.0)]
+    none = spark.range(1).select(layout.display_rows(F.lit(5.0), F.lit(5.0)).alias("r"), layout.display_rows(F.lit(0.0), F.lit(61.0)).alias("s")).first()
+    assert none.r == [] and [tuple(x) for x in none.s] == [(0.0, 30.0), (30.0, 60.0), (60.0, 61.0)]
+
+
+def test_cursor_of_a_new_generation(spark, tmp_path):
+    schema = "film_id long, generation string, pos long, to double"
+    for k, rows in enumerate(([(1, "g1", 0, 60.0), (1, "g1", 1, 120.0)], [(1, "g2", 0, 50.0), (1, "g2", 1, 110.0), (1, "g2", 2, 170.0), (1, "g2", 3, 200.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = marks.handed_out(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "g1", 0, 60.0), (1, "g1", 1, 120.0), (1, "g2", 2, 170.0), (1, "g2", 3, 200.0)]
+
+
+def test_tumbling_counts_and_jobs(spark, tmp_path):
+    spark.sql("SELECT timestamp'2024-01-01 00:00:05' AS ts, 1L AS film_id UNION ALL SELECT timestamp'2024-01-01 00:00:25', 1L UNION ALL SELECT timestamp'2024-01-01 00:00:35', 1L").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, film_id long").parquet(str(tmp_path / "in"))
+    start = lambda: marks.tumbling(stream, "30 seconds", "1 minute").writeStream.format("memory").outputMode("complete").queryName("rows").option("checkpointLocation", str(tmp_path / "c")).start()
+    q, fresh = jobs.started(spark, "rows", start)
+    same, again = jobs.started(spark, "rows", start)
+    assert fresh and not again and same.id == q.id
+    q.processAllAvailable()
+    assert jobs.state(spark, [q]).first().status == "running"
+    assert sorted((r.window.start.second, r.n) for r in spark.table("rows").collect()) == [(0, 2), (30, 1)]
+    q.stop()
+    assert jobs.state(spark, [q]).first().status == "complete"
+
+
+def test_no_path_has_no_cues(spark):
+    assert subtitles.read(spark, None).collect() == []
