@@ -43,15 +43,16 @@ def shipped(module: str, name: str, *args) -> Callable:
         if root not in sys.path:
             sys.path.append(root)
         found = getattr(importlib.import_module(module), name)(*batches, *args)
-        return importlib.import_module(f"{module.rpartition('.')[0]}._text").trimmed(found)
+        large = any(isinstance(b, pa.Table) and b.nbytes > 4 << 20 for b in batches)
+        return importlib.import_module(f"{module.rpartition('.')[0]}._text").trimmed(found, large)
 
     return run
 
 
-def trimmed(found):
+def trimmed(found, large: bool):
     """What a function for mapInArrow or applyInArrow gives; memory that it let go of returns to the system, as workers live on."""
     if isinstance(found, pa.Table):
-        if found.nbytes > 1 << 20:
+        if large:
             trim()
         return found
     return _then_trimmed(found)

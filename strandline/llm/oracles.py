@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from .vocabulary import LIMIT, SOFT, STRICT
+
 OP1 = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 piece AS MATERIALIZED (SELECT doc_id, j, n, substr(h, 400 * j + 1, 498) AS s FROM (SELECT doc_id, h, length(h) // 2 AS n, unnest(range(0, (length(h) // 2 + 199) // 200)) AS j FROM d)),
@@ -45,9 +47,6 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM b LEFT JOIN longest USING (doc_id)
 """
 
-_STRICT = ("casino", "porn", "xxx", "viagra", "malware", "phishing", "warez", "escort", "spam-farm", "ads-track", "keylogger", "torrent")
-_SOFT = {"ads": 1.0, "track": 1.0, "spam": 1.0, "win": 1.0, "farm": 0.5, "bet": 1.0, "poker": 1.0, "loan": 1.0, "adult": 1.0, "sex": 1.0, "free": 0.5, "bonus": 1.0, "pills": 1.0, "crack": 1.0, "hack": 1.0, "click": 0.5, "utm_source": 0.25}
-_HIT = "CASE WHEN regexp_matches(u, '(^|[^a-z0-9]){}([^a-z0-9]|$)') THEN {} ELSE 0 END"
 OP5 = rf"""
 WITH p AS (SELECT page_id, url, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u,
         CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -56,9 +55,11 @@ h AS (SELECT page_id, u, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJ
 r(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 best AS (SELECT page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS ruled
          FROM (SELECT DISTINCT page_id, host, path FROM h) h JOIN r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path) GROUP BY page_id),
-t AS (SELECT page_id, host, path, CAST({" + ".join(_HIT.format(x, 1) for x in _STRICT)} AS INTEGER) AS strict_hits,
-        CAST({" + ".join(_HIT.format(x, w) for x, w in _SOFT.items())} AS DOUBLE) AS soft_weight FROM h)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN strict_hits > 0 OR soft_weight >= 2.0 THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_weight
+term(term, weight) AS (VALUES {", ".join(f"('{x}', NULL::DOUBLE)" for x in STRICT)}, {", ".join(f"('{x}', {w}::DOUBLE)" for x, w in SOFT.items())}),
+found AS (SELECT page_id, CAST(count(*) FILTER (weight IS NULL) AS INTEGER) AS strict_hits, coalesce(sum(weight), 0) AS soft_weight
+          FROM h JOIN term ON contains(u, term) AND regexp_matches(u, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') GROUP BY page_id),
+t AS (SELECT page_id, host, path, coalesce(strict_hits, 0) AS strict_hits, coalesce(soft_weight, 0.0::DOUBLE) AS soft_weight FROM h LEFT JOIN found USING (page_id))
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN strict_hits > 0 OR soft_weight >= {LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, strict_hits, soft_weight
 FROM t LEFT JOIN best USING (page_id)
 """
 

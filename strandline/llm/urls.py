@@ -10,7 +10,8 @@ caller bounds (they are built into an automaton once a Python worker).
 
 Defined results: a null url, or one without ://, has an empty host and path and
 no rule; terms are still looked for in the text after a missing ://, and a null
-is allowed. Repeated rows give repeated rows.
+is allowed. Repeated rows give repeated rows; an empty table gives an empty result.
+A url of any length is read once, in one pass of the automaton.
 """
 
 from __future__ import annotations
@@ -22,12 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _text as T
+from .vocabulary import LIMIT, SOFT, STRICT
 
 #: (host, path, verdict)
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-STRICT = ("casino", "porn", "xxx", "viagra", "malware", "phishing", "warez", "escort", "spam-farm", "ads-track", "keylogger", "torrent")
-SOFT = {"ads": 1.0, "track": 1.0, "spam": 1.0, "win": 1.0, "farm": 0.5, "bet": 1.0, "poker": 1.0, "loan": 1.0, "adult": 1.0, "sex": 1.0, "free": 0.5, "bonus": 1.0, "pills": 1.0, "crack": 1.0, "hack": 1.0, "click": 0.5, "utm_source": 0.25}
-LIMIT = 2.0
 SCHEMA = "page_id long, host string, path string, rule string, verdict string, strict_hits int, soft_weight double"
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 from collections import Counter
 from fractions import Fraction
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import _shared, _text as T, fixity, mixing, neighbours, registry, segment, toxicity, urls
+from strandline.llm import _shared, _text as T, fixity, mixing, neighbours, registry, segment, toxicity, urls, vocabulary
 
 from . import helpers as H
 
@@ -28,6 +29,19 @@ def test_urls(spark):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def test_vocabulary_against_regular_expressions(spark):
+    rng = np.random.default_rng(11)
+    every = [*vocabulary.STRICT, *vocabulary.SOFT]
+    assert len(set(every)) == len(every) > 250 and all(t == t.lower() and t.isascii() for t in every)
+    glue = ["/", "-", ".", "_", "", "x", "9", "?q=", "%20"]
+    made = ["http://h.org/" + "".join(rng.choice(every) + rng.choice(glue) for _ in range(int(rng.integers(0, 4)))).upper() for _ in range(400)] + ["http://h.org/" + "free-" * 50_000]
+    got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(list(enumerate(made)), "page_id long, url string")).collect()}
+    for i, u in enumerate(made):
+        hit = {t for t in every if t in u.lower() and re.search(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", u.lower())}
+        strict, soft = len(hit & set(vocabulary.STRICT)), sum(vocabulary.SOFT.get(t, 0) for t in hit)
+        assert (got[i].strict_hits, got[i].soft_weight, got[i].verdict) == (strict, soft, "block" if strict or soft >= vocabulary.LIMIT else "allow")
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((12, 16))
