@@ -80,13 +80,13 @@ def ass_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     s AS (SELECT film_id, n, round_even(avg(r), 0) AS r, round_even(avg(g), 0) AS g, round_even(avg(b), 0) AS b, avg(l) AS luma, sqrt(greatest(0.0::DOUBLE, avg(l * l) - avg(l) * avg(l))) AS contrast,
         avg(CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b)::DOUBLE ELSE 0.0::DOUBLE END) AS saturation,
         round_even(avg(r) FILTER (x < 2 AND y < 2), 0) AS tile_r, avg(l) FILTER (x >= 2 AND y >= 2) AS tile_luma FROM v_luma GROUP BY film_id, n)
-    SELECT s.film_id, s.n, r, g, b, round_even(luma, 6) AS luma, round_even(contrast, 6) AS contrast, round_even(edge, 6) AS edge, round_even(saturation, 6) AS saturation, round_even(coalesce(motion, 0), 6) AS motion, tile_r, round_even(tile_luma, 6) AS tile_luma
+    SELECT s.film_id, s.n, r, g, b, round_even(luma, 9) AS luma, round_even(contrast, 9) AS contrast, round_even(edge, 9) AS edge, round_even(saturation, 9) AS saturation, round_even(coalesce(motion, 0), 9) AS motion, tile_r, round_even(tile_luma, 9) AS tile_luma
     FROM s JOIN d USING (film_id, n) LEFT JOIN m USING (film_id, n)""",
 )
 def frame_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of raw frames, with motion and two of the four tiles."""
     s = frames.sampled(V.pixels(spark, sf_dir), 4, 4, 2)
-    return s.select("film_id", "n", "r", "g", "b", *(F.bround(c, 6).alias(c) for c in ("luma", "contrast", "edge", "saturation", "motion")), F.col("tiles")[0]["r"].alias("tile_r"), F.bround(F.col("tiles")[3]["luma"], 6).alias("tile_luma"))
+    return s.select("film_id", "n", "r", "g", "b", *(F.bround(c, 9).alias(c) for c in ("luma", "contrast", "edge", "saturation", "motion")), F.col("tiles")[0]["r"].alias("tile_r"), F.bround(F.col("tiles")[3]["luma"], 9).alias("tile_luma"))
 
 
 _FILMS = 'f AS (SELECT film_id, min(start) - 1 AS a, max("end") AS z, count(*) AS c FROM v_cues GROUP BY film_id)'
