@@ -34,7 +34,7 @@ from . import _shared
 
 WEIGHTS, MOST = (1, 2, 3), 3
 BLOCK, LEAST_BLOCKS, SHARD, ROUNDS = 64, 512, 1024, 12
-BUCKET_ROWS, MOST_BUCKETS, STRETCH = 1 << 16, 1 << 16, 1 << 14
+BUCKET_ROWS, MOST_BUCKETS, STRETCH = 1 << 12, 1 << 16, 1 << 14
 PRIME = 2147483647
 WORD = r"[^\x20\x09-\x0D]++"
 

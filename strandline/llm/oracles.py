@@ -103,7 +103,7 @@ def _permuted(table: str, name: str, x: str, n: str, key: str, rounds: int = 12)
 
 OP3 = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-        doc_id % 2147483647 * 48271 % 2147483647 % greatest(1, least(65536, (SELECT count(*) FROM documents) // 65536)) AS bucket FROM documents),
+        doc_id % 2147483647 * 48271 % 2147483647 % greatest(1, least(65536, (SELECT count(*) FROM documents) // 4096)) AS bucket FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS number FROM d GROUP BY source),
 s1 AS (SELECT *, (number - 1) % 3 + 1 AS weight, source_size * 3 AS most, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s0),
 s2 AS (SELECT *, (total - coalesce(CAST(sum(most) OVER w AS BIGINT), 0))::DOUBLE / CAST((CAST(sum(weight) OVER () AS BIGINT) - coalesce(CAST(sum(weight) OVER w AS BIGINT), 0)) AS DOUBLE) AS lv
