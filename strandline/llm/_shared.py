@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,17 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def ship(spark: SparkSession) -> str:
+    """Send this package to the executors of a cluster where it isn't installed; returns the archive's path on the driver."""
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="strandline-code-")) / "strandline.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    return str(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table that has been written: later reads don't compute it again, and a lost executor costs none of it."""
     spark = df.sparkSession

@@ -20,12 +20,14 @@
 6. Components of the confirmed links are the result.
 
 With 25 bands of 5 values a pair at similarity 0.85 shares no band with
-probability 4e-7; pairs above, less. There is no cap on a band's nodes.
+probability 4e-7; pairs above, less. There is no cap on a band's nodes. With exact
+set, clusters come from rare items alone, over all sets, and no pair is missed.
 
 Defined results: null and empty texts, and texts without words, have an empty set
 and are linked with nothing; texts of fewer words than a shingle have their whole
 sequence as one. Rows without an id are left out of links, have no component and
-are kept. Rows that share an id count as one document with several sets.
+are kept. Rows that share an id count as one document with several sets. An empty
+table gives an empty result; a text of any length is one set, held whole.
 """
 
 from __future__ import annotations
@@ -241,17 +243,22 @@ def finer_clusters(sets: DataFrame, percent: int) -> DataFrame:
     return components(_met(first, ["cluster", "item"]))
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block_bytes: int = 16 << 20) -> DataFrame:
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block_bytes: int = 16 << 20, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the least document of each component) for every document.
 
     Documents are linked where percent of their sets' union is shared.
+    exact: find clusters without bands, at the cost of the sets of all documents.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = _shared.written(docs.mapInArrow(T.shipped(__name__, "sign_batches", width, bands, rows), SIGNED), "signed")
     known = signed.filter("doc_id is not null and n_shingles > 0")
     nodes = known.groupBy("code").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     nodes = _shared.written(nodes, "nodes")
-    cluster = components(_met(nodes.select("node", F.explode("bands").alias("band")), ["band"]))
+    if exact:
+        every = docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("node"), F.lit(0).cast("long").alias("cluster"), "text")
+        cluster = finer_clusters(_shared.written(every.mapInArrow(T.shipped(__name__, "set_batches", width), SETS), "all_sets"), percent)
+    else:
+        cluster = components(_met(nodes.select("node", F.explode("bands").alias("band")), ["band"]))
     sizes = nodes.groupBy("node").agg(F.sum("n").alias("n"))
     cluster = _shared.written(cluster.join(sizes, "node").select("node", F.col("label").alias("cluster"), "n"), "clusters")
     blocks = lambda size: F.ceil(F.sum(size) / block_bytes).cast("int").alias("blocks")

@@ -6,7 +6,8 @@ numbers) are voted on by labelers: strict shape, a gazetteer of cue words before
 the span, context before the span, and the mix of its characters. Expectation
 maximisation over the counts of vote patterns estimates how reliable each
 labeler is (Dawid-Skene), and a logistic classifier of votes and kind, trained on
-the posteriors, decides each span.
+the posteriors, decides each span. The gazetteer is a table of words by kind; a word
+of the span's own kind votes for it, one of another kind against it.
 
 All of it is DataFrame expressions. What reaches the driver is the table of vote
 patterns with counts, at most KINDS * 3**LABELERS rows; the fitted model goes
@@ -14,7 +15,10 @@ back as literals. Regular expressions are written so that none backtracks over a
 long text: every loop is possessive, and a match starts only where a run does.
 
 Defined results: a null or empty text has no spans; null ids stay as they are;
-repeated rows give repeated rows. Offsets count code points, ends are exclusive.
+repeated rows give repeated rows; an empty table gives an empty result. Offsets count
+code points, ends are exclusive. A text with n matches costs n to the power of 1.5 at
+most, in small steps: no array or text is copied once a match. One text's spans are
+held together with the text.
 """
 
 from __future__ import annotations

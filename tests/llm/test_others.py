@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+import zipfile
 from collections import Counter
 from fractions import Fraction
 
@@ -18,12 +19,12 @@ from . import helpers as H
 
 
 def test_urls(spark):
-    rows = [(1, "http://WWW.Example.com/en/x?y"), (2, "https://example.com/en/"), (3, "http://a.net/es/1"), (4, "http://a.org"), (5, None), (6, "no scheme casino"), (7, "http://casino-win.org/x"), (8, "http://x.org/casinos"), (9, "http://bet.org/poker"), (10, ""), (11, "http://x.com#f"), (11, "http://x.com#f"), (None, "http://net/fr/")]
+    rows = [(1, "http://WWW.Example.com/en/x?y"), (2, "https://example.com/en/"), (3, "http://a.net/es/1"), (4, "http://a.org"), (5, None), (6, "no scheme casino"), (7, "http://casino-win.org/x"), (8, "http://x.org/casinox"), (9, "http://bet.org/poker"), (10, ""), (11, "http://x.com#f"), (11, "http://x.com#f"), (None, "http://net/fr/")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("rule", F.lit(1))
     got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(pages).collect()}
     assert got == {
         (1, "www.example.com", "/en/x", "www.example.com/en/", "allow"), (2, "example.com", "/en/", "example.com/en/", "block"), (3, "a.net", "/es/1", "net/es/", "block"), (4, "a.org", "", None, "allow"),
-        (5, "", "", None, "allow"), (6, "", "", None, "block"), (7, "casino-win.org", "/x", None, "block"), (8, "x.org", "/casinos", None, "allow"), (9, "bet.org", "/poker", None, "block"), (10, "", "", None, "allow"),
+        (5, "", "", None, "allow"), (6, "", "", None, "block"), (7, "casino-win.org", "/x", None, "block"), (8, "x.org", "/casinox", None, "allow"), (9, "bet.org", "/poker", None, "block"), (10, "", "", None, "allow"),
         (11, "x.com", "", None, "allow"), (None, "net", "/fr/", "net/fr/", "block"),
     }
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
@@ -322,6 +323,13 @@ def test_word_hashes_do_not_depend_on_place():
     assert data.tobytes() == b"c" and offsets.tolist() == [0, 0, 0, 1]
 
 
+def test_package_as_an_archive(spark):
+    path = _shared.ship(spark)
+    with zipfile.ZipFile(path) as z:
+        names = z.namelist()
+    assert "strandline/llm/_text.py" in names and "strandline/__init__.py" in names
+
+
 def test_registry_names():
     assert [sum(q.startswith(f"op{n}_") for q in registry.QUERIES) for n in range(1, 11)] == [1] * 10
     assert set(registry.ORACLES) <= set(registry.QUERIES)
