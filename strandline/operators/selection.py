@@ -9,14 +9,16 @@ from __future__ import annotations
 import sys
 import math
 from collections import deque
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strandline.options import Options
+from strandline.functions.text import opening
+from strandline.operators.intervals import nearest_interval
+from strandline.options import Options, profile
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package
 
@@ -357,6 +359,61 @@ def adaptive_chunks(samples: DataFrame, cues: DataFrame, options: Options = Opti
     return left.groupBy("film_id").cogroup(right.groupBy("film_id")).applyInPandas(film, PICKS)
 
 
+def picks_in(samples: DataFrame, cues: DataFrame, windows: DataFrame, options: Options = Options()) -> DataFrame:
+    """Keyframes of windows (film_id, chunk, from, to, and pins, an array of times that stay, or null), as adaptive_chunks() gives them."""
+    pinned = windows.select("film_id", F.array("chunk", "from", "to").cast("array<double>").alias("w"), F.coalesce("pins", F.array().cast("array<double>")).alias("pins"))
+    asked = pinned.groupBy("film_id").agg(F.collect_list(F.struct("w", "pins")).alias("__asked"))
+
+    def film(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        columns = [c.split()[0] for c in PICKS.split(", ")]
+        rows = []
+        if len(left):
+            left = left.sort_values("t", kind="stable")
+            for ask in left["__asked"].iloc[0]:
+                n, a, b = ask["w"]
+                f = Film(left, right[["start", "end"]].to_numpy(float), replace(options, pins=(*options.pins, *map(float, ask["pins"]))))
+                rows += [(key[0], int(n), a, b, p.time, p.score, p.reason) for p in f.picks(a, b, options.max_keyframes)]
+        return pd.DataFrame(rows, columns=columns)
+
+    left = samples.join(asked, "film_id")
+    return left.groupBy("film_id").cogroup(cues.select("film_id", "start", "end").groupBy("film_id")).applyInPandas(film, PICKS)
+
+
+def refined(chunks: DataFrame, samples: DataFrame, cues: DataFrame, windows: DataFrame, options: Options = Options()) -> DataFrame:
+    """Keyframes of chunks (PICKS) with those of some chunks picked anew, pins among them (windows as in picks_in())."""
+    rest = chunks.join(windows.select("film_id", "chunk").distinct(), ["film_id", "chunk"], "left_anti")
+    return rest.select(*(c.split()[0] for c in PICKS.split(", "))).unionByName(picks_in(samples, cues, windows, options))
+
+
+def focused(samples: DataFrame, cues: DataFrame, windows: DataFrame, detail: str = "balanced", longest: float = 300.0) -> DataFrame:
+    """Keyframes of ranges (film_id, chunk, from, to) in more detail; an empty, too long or missing range ends the query."""
+    film = samples.groupBy("film_id").agg(F.max("t").alias("__z"))
+    w = windows.join(film, "film_id", "left")
+    fault = F.when(F.col("__z").isNull(), "there is no such film").otherwise(range_problem(F.col("from"), F.col("to"), F.col("__z"), longest))
+    start = F.when(fault.isNotNull(), F.raise_error(fault).cast("double")).otherwise(F.col("from"))
+    checked = w.select("film_id", "chunk", start.alias("from"), F.least("to", "__z").alias("to"), F.lit(None).cast("array<double>").alias("pins"))
+    return picks_in(samples, cues, checked, profile(detail))
+
+
+def range_problem(start: Column, end: Column, duration: Column, longest: float = 300.0) -> Column:
+    """Why a range can't be looked at closely; null if it can."""
+    return F.when(end <= start, "the range is empty").when(end - start > longest, "the range is too long").when(end > duration + 0.5, "the range lies beyond the film")
+
+
+def keyframes(picks: DataFrame, cues: DataFrame, options: Options = Options()) -> DataFrame:
+    """Picks of chunks as keyframes: id (K1 on), time and score to 3 decimals, reason, and the cue they lie at or near.
+
+    cues: film_id, start, end, ord, id, text, source.
+    """
+    w = Window.partitionBy("film_id", "chunk").orderBy("time")
+    k = picks.withColumn("at", F.row_number().over(Window.partitionBy("film_id").orderBy("chunk", "time")).cast("long")).withColumn("id", F.format_string("K%d", F.row_number().over(w))).withColumn("t", F.col("time"))
+    near = nearest_interval(k.select("film_id", "at", "t"), cues.select("film_id", "start", "end", "ord", F.col("id").alias("cue"), "text", "source"), ["film_id"], options.anchor_distance)
+    text = opening(F.col("text"), options.anchor_chars, options.anchor_words)
+    anchor = F.when(F.col("cue").isNotNull() & (text != ""), F.struct(F.col("cue").alias("id"), text.alias("text"), F.bround("distance", 2).alias("distance"), F.col("source").alias("source")))
+    found = near.select("film_id", "at", anchor.alias("subtitle_anchor"))
+    return k.join(found, ["film_id", "at"], "left").select("film_id", "chunk", "id", F.bround("time", 3).alias("time"), F.bround("score", 3).alias("score"), "reason", "subtitle_anchor")
+
+
 def segment_bounds(samples: DataFrame, options: Options = Options()) -> DataFrame:
     """Segments of every film over its whole length, in the order they are made."""
 

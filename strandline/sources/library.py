@@ -7,7 +7,7 @@ does not: it counts as absent.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from strandline.functions import timecode as C
 from strandline.operators.ranking import latest
@@ -191,9 +191,12 @@ def without(manifest_sheets: DataFrame, start: int | None = None, replaced: int
     return out
 
 
-def focus_problem(start: Column, end: Column, duration: Column, longest: float = 300.0) -> Column:
-    """Why a range can't be looked at closely; null if it can."""
-    return F.when(end <= start, "the range is empty").when(end - start > longest, "the range is too long").when(end > duration + 0.5, "the range lies beyond the film")
+def manifest_document(film: DataFrame, sheet: DataFrame) -> DataFrame:
+    """The manifest of each film (film_id, title, generation_id, video, subtitle, generated_at) as JSON, from the table of its sheets; manifests() reads it."""
+    fields = [f.name for f in T.StructType.fromDDL(SHEET.removeprefix("struct<").removesuffix(">")).fields if f.name in sheet.columns]
+    packed = sheet.groupBy("film_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("sheets"))
+    names = ["title", "generation_id", "video", "subtitle", "generated_at"]
+    return film.join(packed, "film_id", "left").select("film_id", F.to_json(F.struct(*names, F.coalesce("sheets", F.array().cast(packed.schema["sheets"].dataType)).alias("sheets"))).alias("value"))
 
 
 def upserted(registry: DataFrame, fresh: DataFrame, by: str = "last_accessed_at") -> DataFrame:

@@ -87,3 +87,17 @@ def prepared(videos: DataFrame, sidecars: DataFrame, streams: DataFrame, preferr
 
 def source_kind(source: Column) -> Column:
     return F.when(is_web(source), "url").otherwise("local")
+
+
+def opened(wanted: DataFrame, known: DataFrame, files: DataFrame, sidecars: DataFrame, streams: DataFrame, preferred: tuple[str, ...]) -> DataFrame:
+    """Sources to open (path, source, explicit): those a record serves, and local ones prepared from what lies beside and in them.
+
+    Returns path, source, video_path, subtitle_path, title and reused; addresses
+    without a record have no video yet.
+    """
+    have = cached(wanted.select("path", "source"), known, files).select("path", "source", "video_path", "subtitle_path", "title", "reused")
+    rest = wanted.join(have.select("path", "source"), ["path", "source"], "left_anti")
+    local = prepared(rest.select(F.col("path").alias("film"), F.col("source").alias("video"), "explicit"), sidecars, streams, preferred)
+    video = F.when(source_kind(F.col("source")) == "local", F.col("source"))
+    fresh = rest.join(local.withColumnRenamed("film", "path"), "path", "left").select("path", "source", video.alias("video_path"), F.when(video.isNotNull(), F.col("subtitle")).alias("subtitle_path"), stem(F.col("source")).alias("title"), F.lit(False).alias("reused"))
+    return have.unionByName(fresh)

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import retention as R
+from strandline.operators import retention as R, selection as S
 from strandline.sources import library as L, probes as P
 
 
@@ -51,7 +51,7 @@ def test_shelf_of_films(spark):
 
 def test_small_rules(spark):
     d = spark.createDataFrame([(0.0, 10.0, 100.0), (5.0, 5.0, 9.0), (0.0, 301.0, 999.0), (0.0, 10.0, 9.0)], "a double, b double, c double")
-    got = [r[0] for r in d.select(L.focus_problem(F.col("a"), F.col("b"), F.col("c"))).collect()]
+    got = [r[0] for r in d.select(S.range_problem(F.col("a"), F.col("b"), F.col("c"))).collect()]
     assert got == [None, "the range is empty", "the range is too long", "the range lies beyond the film"]
     r = spark.createDataFrame([("p", "1", "old")], "path string, last_accessed_at string, kind string")
     assert [x.kind for x in L.upserted(r, spark.createDataFrame([("p", "2", "new")], r.schema)).collect()] == ["new"]
@@ -106,3 +106,22 @@ def test_cleanup_rules(spark):
         assert got == {"old": (word, None, 5), "back": ("skipped", "recently-reactivated", 0), "busy": ("skipped", "generation-running", 0)}
     with pytest.raises(ValueError, match="positive"):
         R.cleanup(e, now, 0, True)
+
+
+def test_manifests_are_written_and_read_again(spark, shelf, tmp_path):
+    m = L.manifests(spark, str(shelf / "m.json")).withColumn("film_id", F.lit("f"))
+    s = L.sheets(m)
+    (tmp_path / "out.json").write_text(L.manifest_document(m, s).first()["value"])
+    again = L.sheets(L.manifests(spark, str(tmp_path / "out.json"))).withColumn("film_id", F.lit("f"))
+    columns = ["index", "time_range", "sidecar", "keyframes", "subtitle_count"]
+    assert [tuple(r) for r in again.select(*columns).orderBy("index").collect()] == [tuple(r) for r in s.select(*columns).orderBy("index").collect()]
+
+
+def test_sources_are_opened(spark):
+    w = spark.createDataFrame([("p1", "http://a/x", None), ("p2", "/films/b.mkv", None), ("p3", "/films/c.v2.mkv", "own.srt"), ("p4", "http://a/y", None)], "path string, source string, explicit string")
+    known = P.records(spark.createDataFrame([("p1", '{"source": "http://a/x", "video_path": "/v/1.mkv", "title": "One"}'), ("p4", "{broken")], "path string, value string"))
+    files = spark.createDataFrame([("/v/1.mkv",)], "path string")
+    side = spark.createDataFrame([("p2", True, False, "en", ".srt", "b.en.srt"), ("p3", True, False, "en", ".srt", "c.srt")], "film string, stem_match boolean, only_one boolean, lang string, ext string, name string")
+    none = spark.createDataFrame([], "film string, index int, codec string, lang string, commentary boolean, is_default boolean, forced boolean")
+    got = {r.path: (r.video_path, r.subtitle_path, r.title, r.reused) for r in P.opened(w, known, files, side, none, ("en",)).collect()}
+    assert got == {"p1": ("/v/1.mkv", None, "One", True), "p2": ("/films/b.mkv", "b.en.srt", "b", False), "p3": ("/films/c.v2.mkv", "own.srt", "c.v2", False), "p4": (None, None, "y", False)}

@@ -255,3 +255,23 @@ def test_tumbling_counts_and_jobs(spark, tmp_path):
 
 def test_no_path_has_no_cues(spark):
     assert subtitles.read(spark, None).collect() == []
+
+
+def test_chunks_are_refined_and_ranges_focused(spark):
+    d = spark.createDataFrame(films(4, 150))
+    cues = spark.createDataFrame([(1, 1, "S01_20", 2.0, 4.0, "one two three four five six seven", "source-subtitle")], "film_id long, ord long, id string, start double, end double, text string, source string")
+    whole = S.adaptive_chunks(d, cues).cache()
+    ask = lambda rows: spark.createDataFrame(rows, "film_id long, chunk long, from double, to double, pins array<double>")
+    first = whole.filter("chunk = 1").first()
+    again = S.refined(whole, d, cues, ask([(1, 1, first["from"], first["to"], [7.25])])).collect()
+    assert 7.25 in [r.time for r in again if r.chunk == 1] and any(r.reason == "pinned" for r in again)
+    assert sorted(map(tuple, (r for r in again if r.chunk > 1))) == sorted(map(tuple, whole.filter("chunk > 1").collect()))
+    close = S.focused(d, cues, ask([(1, 9, 20.0, 80.0, None)]), "dense").collect()
+    assert {r.chunk for r in close} == {9} and all(20 <= r.time <= 80 for r in close)
+    for bad, what in (([(1, 9, 20.0, 20.0, None)], "empty"), ([(1, 9, 20.0, 200.0, None)], "beyond"), ([(2, 9, 1.0, 2.0, None)], "no such film")):
+        with pytest.raises(Exception, match=what):
+            S.focused(d, cues, ask(bad)).collect()
+    k = S.keyframes(whole, cues).orderBy("chunk", "time").collect()
+    assert [r.id for r in k if r.chunk == 1] == [f"K{i}" for i in range(1, sum(r.chunk == 1 for r in k) + 1)]
+    anchored = [r for r in k if r.subtitle_anchor]
+    assert anchored and all(r.time <= 10 and r.subtitle_anchor.text == "one two three four five six..." for r in anchored)
