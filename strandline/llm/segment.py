@@ -45,8 +45,8 @@ from . import _text as T
 U = np.uint64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG, RANK_SHIFT = 56, 10.0  # masses of units up to LONG bytes can't vanish
-CHUNK, SEARCH = 1 << 20, 1 << 17  # bytes of text whose units share a lattice, and that are searched together
-DEEP, FLOOR = 60.0, 38.0
+CHUNK, SEARCH = 2 << 20, 1 << 18  # bytes of text whose units share a lattice, and that are searched together
+DEEP, FLOOR, SLOTS = 60.0, 38.0, 1 << 20
 SCHEMA = "doc_id long, sample int, ids array<int>, n_pieces long, n_bytes long, log_prob double, perturbed double, log_inclusion double"
 _loaded: dict = {}
 
@@ -87,14 +87,27 @@ class Vocabulary:
         o = np.argsort(h)
         self.hash, self.id = h[o], np.array(ids)[o]
         self.longest = max(map(len, codes))
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[(h & U((1 << 22) - 1)).astype(np.int64)] = True
+        # pieces by the low bits of their hashes: the first of a slot in the first table, and so on
+        slot = (self.hash & U(SLOTS - 1)).astype(np.int64)
+        o = np.argsort(slot, kind="stable")
+        first = np.flatnonzero(np.append(True, slot[o][1:] != slot[o][:-1]))
+        depth = np.arange(len(o)) - np.repeat(first, np.diff(np.append(first, len(o))))
+        self.tables = [np.full(SLOTS, -1, np.int32) for _ in range(int(depth.max()) + 1)]
+        for d, table in enumerate(self.tables):
+            table[slot[o][depth == d]] = o[depth == d]
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in h that are pieces, and their ids."""
-        k = np.flatnonzero(self.filter[(h & U((1 << 22) - 1)).view(np.int64)])
-        at = np.minimum(np.searchsorted(self.hash, h[k]), len(self.hash) - 1)
-        good = self.hash[at] == h[k]
+        slot = (h & U(SLOTS - 1)).view(np.int64)
+        at = self.tables[0][slot]
+        k = np.flatnonzero(at >= 0)
+        at, want = at[k], h[k]
+        good = self.hash[at] == want
+        for table in self.tables[1:]:  # few slots have a second piece
+            bad = np.flatnonzero(~good)
+            other = table[slot[k[bad]]]
+            hit = (other >= 0) & (self.hash[other] == want[bad])
+            at[bad[hit]], good[bad[hit]] = other[hit], True
         return k[good], self.id[at[good]]
 
 
@@ -263,6 +276,7 @@ class _Path:
     def __init__(self, edge: np.ndarray, unit: np.ndarray, first: np.ndarray, opened: np.ndarray, value: np.ndarray, lattice: Lattice, seed: np.ndarray) -> None:
         self.edge, self.unit, self.first, self.value = edge, unit, first, value
         size = np.diff(first)
+        self.row = np.repeat(np.arange(len(size), dtype=np.int32), size)
         log = lattice.fixed[edge]
         run = np.cumsum(log)
         head = np.zeros(len(size), np.int64)
@@ -279,7 +293,7 @@ class _Path:
             self._values(np.flatnonzero(self.before <= -DEEP), opened, value, lattice, seed)
 
     def _values(self, i: np.ndarray, opened: np.ndarray, value: np.ndarray, lattice: Lattice, seed: np.ndarray) -> None:
-        row = np.searchsorted(self.first, i, side="right") - 1
+        row = self.row[i]
         at = i - self.first[row]
         keep = at >= opened[row]
         i, row, at = i[keep], row[keep], at[keep]
