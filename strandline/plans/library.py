@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from strandline.functions import text as X, timecode as C
 from strandline.operators import ranking as R, retention, speech
 from strandline.operators.intervals import overlap_join
+from strandline.operators.search import holding
 from strandline.plans.catalogue import register
 from strandline.plans.timeline import CHUNKS_SQL, CLEAN, OPENING, chunks
 from strandline.sources import subtitles, views as V
@@ -229,10 +230,10 @@ def located(texts: DataFrame, wanted: DataFrame, grams: int = 3) -> DataFrame:
     """Pairs of a text (doc_id, text) and a wanted phrase (item_id, phrase) it holds, case and runs of white space apart; empty phrases are held by none.
 
     A phrase that stands in a text stands there with all its inner words, so phrases
-    of grams + 2 words or more meet texts on their second to fourth word. Shorter
-    ones, which may lie within words, meet them on their first three characters
-    (two or one, where they have no more). What meets on a key is a pair of hashes;
-    texts and phrases are joined to the distinct pairs, and looked at, once each.
+    of grams + 2 words or more meet texts on their second to fourth word. What meets
+    on a key is a pair of hashes; texts and phrases are joined to the distinct pairs,
+    and looked at, once each. Shorter phrases, which may lie within words, are looked
+    for in every text, in blocks.
     """
     form = lambda c: X.squeeze(F.lower(c))
     t = texts.select("doc_id", form("text").alias("t")).filter("t <> ''").withColumn("tk", F.xxhash64("doc_id", "t"))
@@ -243,14 +244,9 @@ def located(texts: DataFrame, wanted: DataFrame, grams: int = 3) -> DataFrame:
     by_word = F.transform(F.array(words), lambda ws: runs(grams, F.size(ws), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, grams), " "))))[0]
     keys = w.filter(long).select("pk", F.xxhash64(F.array_join(F.slice(F.split("p", " "), 2, grams), " ")).alias("key"))
     met = t.select("tk", F.explode(by_word).alias("key")).join(keys, "key").select("tk", "pk")
-    short = w.filter(~long)
-    if not short.isEmpty():
-        head = short.select("pk", F.xxhash64(F.substring("p", 1, 3)).alias("key"))
-        of = lambda n: lambda c: runs(n, F.size(c), lambda i: F.xxhash64(F.array_join(F.slice(c, i, n), "")))
-        signs = lambda n: F.transform(F.array(F.split("t", "")), of(n))[0]
-        by_sign = F.concat(*map(signs, (1, 2, 3)))
-        met = met.unionByName(t.select("tk", F.explode(F.array_distinct(by_sign)).alias("key")).join(head, "key").select("tk", "pk"))
-    return met.distinct().join(t, "tk").join(w, "pk").filter(F.col("t").contains(F.col("p"))).select("doc_id", "item_id").distinct()
+    pairs = met.distinct().join(t, "tk").join(w, "pk").filter(F.col("t").contains(F.col("p"))).select("doc_id", "item_id")
+    short = holding(t, w.filter(~long)).join(t.select("tk", "doc_id"), "tk").join(w.select("pk", "item_id"), "pk").select("doc_id", "item_id")
+    return pairs.unionByName(short).distinct()
 
 
 _FORM = r"regexp_replace(regexp_replace(lower({}), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"

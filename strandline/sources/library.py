@@ -196,7 +196,7 @@ def manifest_document(film: DataFrame, sheet: DataFrame) -> DataFrame:
     fields = [f.name for f in T.StructType.fromDDL(SHEET.removeprefix("struct<").removesuffix(">")).fields if f.name in sheet.columns]
     packed = sheet.groupBy("film_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("sheets"))
     names = ["title", "generation_id", "video", "subtitle", "generated_at"]
-    return film.join(packed, "film_id", "left").select("film_id", F.to_json(F.struct(*names, F.coalesce("sheets", F.array().cast(packed.schema["sheets"].dataType)).alias("sheets"))).alias("value"))
+    return film.select("film_id", *names).join(packed, "film_id", "left").select("film_id", F.to_json(F.struct(*names, F.coalesce("sheets", F.array().cast(packed.schema["sheets"].dataType)).alias("sheets"))).alias("value"))
 
 
 def upserted(registry: DataFrame, fresh: DataFrame, by: str = "last_accessed_at") -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import folds, frames, intervals as I, layout, retention, selection as S, speech
+from strandline.operators import folds, frames, intervals as I, layout, retention, search, selection as S, speech
 from strandline.options import Options
 from strandline.plans import library
 from strandline.sources import subtitles
@@ -275,3 +275,17 @@ def test_chunks_are_refined_and_ranges_focused(spark):
     assert [r.id for r in k if r.chunk == 1] == [f"K{i}" for i in range(1, sum(r.chunk == 1 for r in k) + 1)]
     anchored = [r for r in k if r.subtitle_anchor]
     assert anchored and all(r.time <= 10 and r.subtitle_anchor.text == "one two three four five six..." for r in anchored)
+
+
+def test_phrases_are_found_anywhere(spark):
+    rng = random.Random(2)
+    texts = [(i, " ".join(rng.choice(["ab", "abc", "b c", "cab", "x"]) for _ in range(rng.randrange(12)))) for i in range(80)] + [(80, None), (None, "abc x ab cab b")]
+    phrases = [(0, "b"), (1, "c a"), (2, "abc"), (3, ""), (4, "  B  C "), (5, "x ab abc cab x"), (6, "b c ab x abc ab"), (7, None), (8, "abc"), (9, "c x ab cab")]
+    d, w = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(phrases, "item_id long, phrase string")
+    form = lambda x: " ".join((x or "").lower().split())
+    want = {(i, j) for i, t in texts for j, p in phrases if form(p) and form(p) in form(t)}
+    assert {tuple(r) for r in library.located(d, w).collect()} == want and len(want) > 100
+    keyed = d.filter("text is not null").select(F.coalesce("doc_id", F.lit(-1)).alias("tk"), F.col("text").alias("t"))
+    one = search.holding(keyed, w.filter("phrase <> ''").select(F.col("item_id").alias("pk"), F.col("phrase").alias("p")), block=2)
+    assert {(r.tk, r.pk) for r in one.collect()} == {(-1 if i is None else i, j) for i, t in texts for j, p in phrases if p and t is not None and p in t}
+    assert library.located(d, w.limit(0)).collect() == []
