@@ -45,7 +45,7 @@ from . import _text as T
 U = np.uint64
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG, RANK_SHIFT = 56, 10.0  # masses of units up to LONG bytes can't vanish
-CHUNK, SEARCH = 2 << 20, 1 << 18  # bytes of text whose units share a lattice, and that are searched together
+CHUNK, SEARCH = 1 << 20, 1 << 17  # bytes of text whose units share a lattice, and that are searched together
 DEEP, FLOOR, SLOTS = 60.0, 38.0, 1 << 20
 SCHEMA = "doc_id long, sample int, ids array<int>, n_pieces long, n_bytes long, log_prob double, perturbed double, log_inclusion double"
 _loaded: dict = {}
@@ -450,6 +450,7 @@ def sample_batches(batches: Iterator[pa.RecordBatch], k: int, path: str) -> Iter
                     [names.take(pa.array(rows + at)), pa.array(np.full(len(rows), s + 1, np.int32)), lists, pa.array(n), pa.array(held[first[rows + 1]] - held[first[rows]]), *(pa.array(x[rows]) for x in (total, value, inclusion))],
                     names=["doc_id", "sample", "ids", "n_pieces", "n_bytes", "log_prob", "perturbed", "log_inclusion"],
                 )
+        T.trim()
 
 
 def decode(ids: list[int] | np.ndarray, path: str = MODEL) -> str:
