@@ -41,17 +41,18 @@ def nearest_interval(times: DataFrame, cues: DataFrame, keys: list[str], reach:
 
 
 def nearest_point(times: DataFrame, samples: DataFrame, keys: list[str]) -> DataFrame:
-    """For each (at, t): the sample nearest in time, the earlier on ties, by one sort of both sides.
+    """For each (at, t): the sample nearest in time, the earlier on ties, by two sorts of both sides.
 
-    samples need s_t and the columns to carry.
+    samples need s_t and the columns to carry, the least of which counts among samples of one time. Both
+    windows run on from a key's first row: one that looks ahead to its last row reads the rest for each row.
     """
     carried = [c for c in samples.columns if c not in keys]
     both = times.select(*keys, "at", "t", F.lit(1).alias("__q"), F.lit(None).cast(samples.select(F.struct(*carried)).schema[0].dataType).alias("__s")).unionByName(
         samples.select(*keys, F.lit(None).cast("long").alias("at"), F.col("s_t").alias("t"), F.lit(0).alias("__q"), F.struct(*carried).alias("__s"))
     )
-    w = Window.partitionBy(*keys).orderBy("t", "__q")
-    back = F.last("__s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("__s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    least = F.col("__s").desc()
+    last = lambda *order: F.last("__s", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order, least).rowsBetween(Window.unboundedPreceding, 0))
+    back, ahead = last("t", "__q"), last(F.col("t").desc(), F.col("__q").desc())
     rows = both.withColumn("__back", back).withColumn("__ahead", ahead).filter("__q = 1")
     closer = F.when(F.col("__back").isNull(), F.col("__ahead")).when(F.col("__ahead").isNull(), F.col("__back"))
     closer = closer.when(F.col("__ahead.s_t") - F.col("t") < F.col("t") - F.col("__back.s_t"), F.col("__ahead")).otherwise(F.col("__back"))

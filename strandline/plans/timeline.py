@@ -366,7 +366,7 @@ def film_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = S.color_island(changed(spark, sf_dir)).withColumn("quality", S.quality()).withColumn("low", S.low_information())
     loud = V.samples(spark, sf_dir).select("film_id", (F.col("n") - 1).alias("i"), F.bround((F.col("luma") - 0.5) * 20000, 0).alias("x"))
     heard = speech.heard_samples(s.withColumn("at", F.col("n")), speech.audio_bins(loud, 4, 0.25))
-    return heard.select("film_id", "t", "change", "r", "g", "b", "luma", "contrast", "edge", "quality", "low", "island", "regional", "motion", "tiles", F.col("audio_event").alias("audio"))
+    return heard.select("film_id", "n", "t", "change", "r", "g", "b", "luma", "contrast", "edge", "quality", "low", "island", "regional", "motion", "tiles", F.col("audio_event").alias("audio"))
 
 
 @register("timeline_chunks")

@@ -60,6 +60,14 @@ def films(seed, n=200):
     return p
 
 
+def test_nearest_point_reads_each_row_once(spark):
+    times = spark.createDataFrame([(1, 0, 2.0), (1, 1, 5.2), (2, 0, 1.0)], "film_id long, at long, t double")
+    samples = spark.createDataFrame([(1, 1.0, 7), (1, 1.0, 5), (1, 6.0, 4), (1, 6.0, 9), (2, 3.0, 2), (2, 3.0, 1)], "film_id long, s_t double, n long")
+    found = I.nearest_point(times, samples, ["film_id"])
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    assert sorted((r.film_id, r.at, r.n) for r in found.collect()) == [(1, 0, 5), (1, 1, 4), (2, 0, 1)]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_segments_cover_the_film(seed):
     f = S.Film(films(seed), np.zeros((0, 2)), Options())
@@ -86,6 +94,36 @@ def test_chunks_follow_one_another():
     assert all(60 <= b - a <= 600 for a, b, _ in chunks[:-1])
 
 
+def test_picks_are_compared_with_near_ones_only(monkeypatch):
+    f, compared = S.Film(films(2, 400), np.zeros((0, 2)), Options()), []
+    alike = S.Film.alike
+    monkeypatch.setattr(S.Film, "alike", lambda self, p, q: compared.append(1) or alike(self, p, q))
+    picks = [S.Pick(float(t), float(t * 7 % 13), "x", 0, 0) for t in range(0, 400, 4)]
+    kept = f.distinct(picks, 400)
+    assert [p.time for p in kept] == sorted(p.time for p in kept) and len(compared) <= 2 * len(picks)
+    assert all(not alike(f, p, q) for p, q in zip(kept, kept[1:]))
+
+
+def test_films_come_as_one_stream(spark):
+    given = {k: films(k, 25 * k).assign(film_id=k, low=False) for k in (1, 2, 3, 4)}
+    cues = np.array([[3.0, 9.0], [30.0, 31.0]])
+    rows = [(None if k == 4 else k, *r) for k, p in given.items() for r in p.drop(columns="film_id").sample(frac=1, random_state=k).itertuples(index=False)]
+    d = spark.createDataFrame(rows, "film_id long, " + ", ".join(f"{c} {'boolean' if c == 'low' else 'double'}" for c in given[1].columns[1:]))
+    c = spark.createDataFrame([(k, a, b) for k in (2, None, 77) for a, b in cues.tolist()], "film_id long, start double, end double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # films go on from batch to batch
+    try:
+        made = S.adaptive_chunks(d, c)
+        assert "CoGroup" not in made._jdf.queryExecution().toString()
+        got = sorted(map(repr, map(tuple, made.collect())))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for k, p in given.items():
+        f = S.Film(p, cues if k in (2, 4) else np.zeros((0, 2)), Options())
+        want += [(None if k == 4 else k, n, a, b, x.time, x.score, x.reason) for n, (a, b, picks) in enumerate(f.chunks(f.t[0], f.t[-1]), 1) for x in picks]
+    assert got == sorted(map(repr, want))
+
+
 def test_dark_frames_are_picked_only_alone():
     p = films(1, 40)
     p["low"] = True
