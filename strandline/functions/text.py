@@ -2,33 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def named(x: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of x, with x worked out once however often it stands there; a CASE works it out anew in each part."""
+    return F.transform(F.array(x), made)[0]
+
+
 def strip(x: Column) -> Column:
     """Without white space at either end, in the Unicode sense."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
 def squeeze(x: Column) -> Column:
-    """Runs of white space as one space, none at the ends."""
-    return strip(F.regexp_replace(x, r"(?U)\s+", " "))
+    """Runs of white space as one space, none at the ends. A single space is left as it stands."""
+    return F.trim(F.regexp_replace(x, r"(?U) \s+|[\s&&[^ ]]\s*", " "))
 
 
 def clean_cue(x: Column) -> Column:
-    """A cue's text without override blocks, tags, and line-break escapes."""
-    x = F.regexp_replace(x, r"\{[^}]*\}", "")
-    x = F.regexp_replace(x, r"\\[Nnh]", " ")
-    x = F.regexp_replace(x, r"<[^>]+>", "")
-    return squeeze(x)
+    """A cue's text without override blocks, tags, and line-break escapes.
+
+    An open bracket that isn't closed takes the rest of the text with it, as it is: else
+    the rest would be read again from each of them.
+    """
+
+    def marked(x: Column) -> Column:
+        plain = F.regexp_replace(x, r"\{[^}]*+\}|(\{[^}]*+)", "$1")
+        plain = F.regexp_replace(plain, r"\\[Nnh]", " ")
+        plain = F.regexp_replace(plain, r"<[^>]++>|(<[^>]*+)", "$1")
+        return F.when(x.contains("{") | x.contains("<") | x.contains("\\"), plain).otherwise(x)
+
+    return squeeze(named(x, marked))
 
 
 def opening(x: Column, chars: int = 24, words: int = 6) -> Column:
     """The first words of a cue's text (characters, where it has CJK or no space), with dots after them; nothing of an empty or null one."""
-    text = clean_cue(F.coalesce(x, F.lit("")))
-    by_word = ~text.rlike(r"[㐀-鿿]") & text.contains(" ")
-    head = F.when(by_word, F.array_join(F.slice(F.split(text, " "), 1, words), " ")).otherwise(F.substring(text, 1, chars))
-    return F.when(text == "", "").otherwise(F.concat(F.regexp_replace(head, r"[,.!?;:，。！？；：]+$", ""), F.lit("...")))
+
+    def cut(text: Column) -> Column:
+        by_word = ~text.rlike(r"[㐀-鿿]") & text.contains(" ")
+        head = F.when(by_word, F.substring_index(text, " ", words)).otherwise(F.substring(text, 1, chars))
+        return F.when(text == "", "").otherwise(F.concat(F.regexp_replace(head, r"(?<![,.!?;:，。！？；：])[,.!?;:，。！？；：]+$", ""), F.lit("...")))
+
+    return named(clean_cue(F.coalesce(x, F.lit(""))), cut)
 
 
 def folded(x: Column) -> Column:

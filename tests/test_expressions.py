@@ -1,6 +1,7 @@
 """Expressions against values worked out by hand."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,6 +39,20 @@ def test_cue_text(spark):
     assert values(spark, ["Straße 1"], X.folded) == ["strasse1"]
 
 
+def test_an_opening_is_cleaned_once(spark):
+    made = spark.range(1).select(X.opening(F.lit("<b>a  b</b>").substr(F.lit(1), F.length(F.lit("x")) + F.col("id") + 20)).alias("o"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("\\[Nnh]") == 1 and made.first().o == "a b..."
+
+
+def test_text_with_open_brackets_only_is_read_once(spark):
+    """Some seconds each where every bracket reads the rest of the text again."""
+    given = ["{" * 60000, "<" * 60000, "a" + "." * 60000 + " b", "<>" * 3 + "<<i>" + "{}{<" + "<"]
+    began = time.monotonic()
+    assert values(spark, given[:2] + given[3:], X.clean_cue) == [given[0], given[1], "<><><>{<<"]
+    assert values(spark, given, X.opening)[2] == given[2] + "..."
+    assert time.monotonic() - began < 20
+
+
 def test_addresses(spark):
     given = ["https://a.b/c?d#e", "http://a/b;p=1", "HTTP://A/x;y/z;p;q?r", "ftp://a/b;c?d", "/films/a;b.mkv", None, "http:///x?y", "https://h#f"]
     assert values(spark, given, X.public_url) == ["https://a.b/c", "http://a/b", "http://A/x;y/z", "ftp://a/b;c?d", "/films/a;b.mkv", "", "http:///x?y", "https://h"]
